@@ -121,8 +121,17 @@ DOCUMENT_REQUESTS_CTE = """document_requests AS (
 )"""
 
 
+SPREAD_KEYS = {"orders": "o_orderkey", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.  One file gives one task, and the filing text made from an
+    order costs far more than reading it: few files are spread over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD_KEYS and len(df.inputFiles()) < cores:
+        df = df.repartition(cores, SPREAD_KEYS[name])
+    return df
 
 
 def run_sql(spark: SparkSession, sf_dir: str, ctes: list[str], select: str, **frames) -> DataFrame:

@@ -20,10 +20,8 @@ def is_date_field(field: str) -> bool:
 
 def month_to_number(name: Column) -> Column:
     """Month number of an English month name; unknown names give 1."""
-    table = F.create_map(
-        *[F.lit(x) for i, m in enumerate(V.MONTHS, 1) for x in (m.lower(), i)]
-    )
-    return F.coalesce(F.try_element_at(table, F.lower(name)), F.lit(1))
+    entries = ", ".join(f"'{m.lower()}', {i}" for i, m in enumerate(V.MONTHS, 1))
+    return F.coalesce(F.try_element_at(F.expr(f"map({entries})"), F.lower(name)), F.lit(1))
 
 
 def _iso(year: Column, month: Column, day: Column) -> Column:

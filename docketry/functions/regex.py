@@ -121,22 +121,30 @@ def all_matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(to_java(pattern)), F.lit(0))
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """All matches with their 0-based start: ``array<struct<start, value, best>>``.
+def match_spans(text: Column, *patterns: str) -> Column:
+    """All matches with their place: ``array<struct<pattern, start, value, best>>``.
 
-    ``best`` is the best group of the match.  Exact for patterns which cannot
-    match the empty string.
+    ``pattern`` numbers the patterns, ``start`` counts from 0, ``best`` is the
+    best group.  Exact for patterns which cannot match the empty string.
     """
-    return _searched_spans(text, pattern) if is_local(pattern) else _summed_spans(text, pattern)
+    found = [
+        (_searched_spans if is_local(p) else _summed_spans)(text, p, i)
+        for i, p in enumerate(patterns)
+    ]
+    return F.concat(*found) if len(found) > 1 else found[0]
 
 
-def _spans(pieces: Column, start_of, best_of) -> Column:
-    empty = F.expr("cast(array() as array<struct<start:int,value:string,best:string>>)")
+def _spans(pieces: Column, number: int, start_of, best_of) -> Column:
+    span_type = "struct<pattern:int,start:int,value:string,best:string>"
+    empty = F.expr(f"cast(array() as array<{span_type}>)")
     seed = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
     def step(acc, piece):
         value, start = piece["value"], start_of(acc["at"], piece)
-        span = F.struct(start.alias("start"), value.alias("value"), best_of(piece).alias("best"))
+        span = F.struct(
+            F.lit(number).alias("pattern"), start.alias("start"), value.alias("value"),
+            best_of(piece).alias("best"),
+        )
         return F.when(value.isNull(), acc).otherwise(
             F.struct(
                 (start + F.length(value)).alias("at"),
@@ -147,7 +155,7 @@ def _spans(pieces: Column, start_of, best_of) -> Column:
     return F.aggregate(pieces, seed, step, lambda acc: acc["spans"])
 
 
-def _searched_spans(text: Column, pattern: str) -> Column:
+def _searched_spans(text: Column, pattern: str, number: int) -> Column:
     """One regex scan; each match is then found again as a plain string.
 
     Exact without look-around: wherever the matched string stands, the pattern
@@ -156,12 +164,13 @@ def _searched_spans(text: Column, pattern: str) -> Column:
     found = F.transform(all_matches(text, pattern), lambda m: F.struct(m.alias("value")))
     return _spans(
         found,
+        number,
         lambda at, piece: F.call_function("locate", piece["value"], text, at + 1) - 1,
         lambda piece: best_group(piece["value"], pattern),
     )
 
 
-def _summed_spans(text: Column, pattern: str) -> Column:
+def _summed_spans(text: Column, pattern: str, number: int) -> Column:
     """Matches and the gaps between them alternate: a running sum of lengths."""
     java = F.lit(to_java(pattern))
     columns = {
@@ -173,6 +182,7 @@ def _summed_spans(text: Column, pattern: str) -> Column:
         columns[name] = F.regexp_extract_all(text, java, F.lit(k))
     return _spans(
         F.arrays_zip(*[c.alias(name) for name, c in columns.items()]),
+        number,
         lambda at, piece: at + F.length(piece["gap"]),
         lambda piece: _longest(piece["value"], [piece[g] for g in groups]),
     )

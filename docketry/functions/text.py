@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import PUNCTUATION, WHITESPACE
@@ -53,10 +53,17 @@ def window(text: Column, start: Column, end: Column) -> Column:
 
 def contains_any(col: Column, terms) -> Column:
     """True when ``col`` holds at least one of the literal ``terms``."""
-    hit = F.lit(False)
-    for term in terms:
-        hit = hit | F.contains(col, F.lit(term))
-    return hit
+    return F.rlike(col, F.lit("|".join(rf"\Q{term}\E" for term in terms)))
+
+
+def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns which later steps may use often, computed exactly once.
+
+    A filter on a plain projected column would be pushed below it together with
+    a copy of the whole expression; rows of a generator are not looked through.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row))) if columns else df
 
 
 def line_offset(text: Column, line_no: Column) -> Column:

@@ -85,8 +85,8 @@ def map_files(files: DataFrame, mapping: DataFrame, order: str) -> DataFrame:
     lengths = keys.select(F.collect_set(F.length("key"))).scalar()
     suffixes = miss.select(
         "pdf_file",
-        F.explode(F.filter(lengths, lambda n: n <= F.length("pdf_file"))).alias("n"),
-    ).select("pdf_file", F.right(F.col("pdf_file"), F.col("n")).alias("key"))
+        F.explode(lengths).alias("n"),
+    ).where(F.col("n") <= F.length("pdf_file")).select("pdf_file", F.right(F.col("pdf_file"), F.col("n")).alias("key"))
     by_suffix = (
         suffixes.join(keys, "key")
         .groupBy("pdf_file")

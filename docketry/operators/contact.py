@@ -84,8 +84,8 @@ def add_exact_trigger(df: DataFrame, text: str, phrases, ignore_case: bool) -> D
     )
 
 
-def may_be_similar(line: Column, phrase: str) -> Column:
-    """Exact necessary condition for ``ratio(phrase, line) > 0.8``.
+def may_be_similar(line: str, phrase: str) -> str:
+    """SQL condition on column ``line``, exact and necessary for ``ratio(phrase, line) > 0.8``.
 
     With a and b characters and M matched ones, ratio = 2M/(a+b).  M <= min(a, b)
     bounds the length.  At most a+b-2M characters stay unmatched, so the matches
@@ -93,14 +93,12 @@ def may_be_similar(line: Column, phrase: str) -> Column:
     letter pairs of the phrase.
     """
     a = len(phrase)
-    b = F.length(line)
     limit = V.FUZZY_TRIGGER_RATIO
-    fits = (b > a * limit / (2 - limit)) & (b < a * (2 - limit) / limit)
-    shared = F.lit(0)
-    for pair, times in Counter(phrase[i : i + 2] for i in range(a - 1)).items():
-        shared = shared + F.when(F.contains(line, F.lit(pair)), F.lit(times)).otherwise(F.lit(0))
-    needed = (1.5 * limit - 1) * (b + a) - 1
-    return F.when(fits, shared >= needed).otherwise(F.lit(False))
+    low, high = a * limit / (2 - limit), a * (2 - limit) / limit
+    pairs = Counter(phrase[i : i + 2] for i in range(a - 1))
+    shared = " + ".join(f"if(contains({line}, '{p}'), {n}, 0)" for p, n in pairs.items())
+    needed = f"{1.5 * limit - 1}D * (length({line}) + {a}) - 1"
+    return f"(length({line}) > {low}D AND length({line}) < {high}D AND {shared} >= {needed})"
 
 
 def similarity_udf(phrases):
@@ -155,16 +153,12 @@ def add_contact(
     numbered = F.transform(
         normalized_lines(body), lambda x, i: F.struct(i.alias("at"), x.alias("line"))
     )
-    wanted = [normalize_phrase(p) for p in phrases]
-
-    def possible(n):
-        test = F.lit(False)
-        for phrase in wanted:
-            test = test | may_be_similar(n["line"], phrase)
-        before = F.col("_line").isNull() | (n["at"] < F.col("_line"))
-        return before & test
-
-    step = step.withColumn("_near", F.filter(numbered, possible))
+    tests = " OR ".join(may_be_similar("n.line", normalize_phrase(p)) for p in phrases)
+    step = step.withColumn("_numbered", numbered)
+    step = step.withColumn(
+        "_near",
+        F.expr(f"filter(_numbered, n -> (_line IS NULL OR n.at < _line) AND ({tests}))"),
+    ).drop("_numbered")
     step = step.withColumns(
         {
             "_near_lines": F.transform("_near", lambda n: n["line"]),

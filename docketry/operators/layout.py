@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.text import strip
+from ..functions.text import contains_any, strip
 
 ELEMENT_TYPE = "struct<page:int,elem_idx:int,text:string,x0:double,x1:double,y0:double>"
 _BUCKET = V.FOLLOWING_ELEMENTS + 1
@@ -59,13 +59,12 @@ def nearest_word(elements: Column, rule: dict) -> Column:
     reach = rule.get("max_distance", 150)
     wanted = max(rule.get("extract_words", 1), 1)
 
-    numbered = F.transform(
-        elements, lambda e, i: F.struct(i.alias("at"), F.lower(e["text"]).alias("low"))
+    # one pass finds every element with any keyword; usually a handful
+    hits = F.filter(
+        F.transform(elements, lambda e, i: F.struct(i.alias("at"), F.lower(e["text"]).alias("low"))),
+        lambda e: contains_any(e["low"], keywords),
     )
 
-    def hits(keyword_test):
-        return F.filter(numbered, lambda e: keyword_test(e["low"]))
-
     def following(e):
         anchor = F.get(elements, e["at"])
         near = F.filter(
@@ -74,19 +73,15 @@ def nearest_word(elements: Column, rule: dict) -> Column:
         )
         return F.transform(F.slice(near, 1, wanted), lambda o: o["text"])
 
-    # one pass finds every element with any keyword; usually a handful
-    any_hit = hits(lambda low: F.exists(
-        F.array(*[F.contains(low, F.lit(k)) for k in keywords]), lambda x: x))
-
-    def best(found):
-        tries = []
-        for k in keywords:
-            mine = F.filter(found, lambda e: F.contains(e["low"], F.lit(k)))
-            words = F.filter(F.transform(mine, following), lambda w: F.size(w) > 0)
-            tries.append(F.get(words, F.lit(0)))
-        return F.coalesce(*tries)
-
-    words = F.get(F.transform(F.array(any_hit), best), F.lit(0))
+    def by_keyword(hits):
+        listed = F.array(*[F.lit(k) for k in keywords])
+        return F.flatten(
+            F.transform(listed, lambda k: F.filter(hits, lambda e: F.contains(e["low"], k)))
+        )
+
+    ordered = F.flatten(F.transform(F.array(hits), by_keyword))
+    found = F.filter(F.transform(ordered, following), lambda words: F.size(words) > 0)
+    words = F.get(found, F.lit(0))
     return cut_at_delimiter(F.array_join(words, " "), rule.get("extract_until", []))
 
 

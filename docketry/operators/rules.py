@@ -193,21 +193,18 @@ def contextual_rule(rule: dict, doc: Doc) -> Column:
 
     # earliest keyword, then earliest position; a later window wins only with
     # a strictly higher score
+    spans = R.match_spans(doc.text, *[re.escape(p) for p in primaries])
+    scored = F.transform(
+        spans, lambda s: score_window(window(doc.text, s["start"] - radius, s["start"] + radius))
+    )
     nothing = F.struct(F.lit(0.0).alias("score"), _none().alias("value"))
-    best = nothing
-    for primary in primaries:
-        spans = R.match_spans(doc.text, re.escape(primary))
-        scored = F.transform(
-            spans,
-            lambda s: score_window(window(doc.text, s["start"] - radius, s["start"] + radius)),
-        )
-        best = F.aggregate(
-            scored,
-            best,
-            lambda acc, c: F.when(
-                c["value"].isNotNull() & (c["score"] > acc["score"]), c
-            ).otherwise(acc),
-        )
+    best = F.aggregate(
+        scored,
+        nothing,
+        lambda acc, c: F.when(
+            c["value"].isNotNull() & (c["score"] > acc["score"]), c
+        ).otherwise(acc),
+    )
     return _gate(doc.text, targets, best["value"])
 
 
@@ -225,36 +222,33 @@ def scored_rule(rule: dict, doc: Doc) -> Column:
     for _ in V.SCORED_CONTEXT_WORDS:
         bonus.append(bonus[-1] + V.SCORED_WORD_WEIGHT)
     bonuses = F.array(*[F.lit(b) for b in bonus])
+    ranks = F.array(*[F.lit(weight * (len(listed) - i)) for i, _, weight in usable])
 
-    def candidate(i, pattern, weight):
-        def score(span):
-            near = F.lower(
-                window(
-                    doc.text,
-                    span["start"] - V.SCORED_CONTEXT,
-                    span["start"] + F.length(span["value"]) + V.SCORED_CONTEXT,
-                )
-            )
-            words = F.lit(0)
-            for word in V.SCORED_CONTEXT_WORDS:
-                words = words + F.contains(near, F.lit(word)).cast("int")
-            text = span["best"]
-            total = (
-                F.lit(weight * (len(listed) - i))
-                + F.length(text) * F.lit(V.SCORED_LENGTH_WEIGHT)
-                + F.get(bonuses, words)
-            )
-            return F.struct(
-                total.alias("score"),
-                F.lit(-i).alias("by_pattern"),
-                (-span["start"]).alias("by_start"),
-                text.alias("value"),
+    def candidate(span):
+        near = F.lower(
+            window(
+                doc.text,
+                span["start"] - V.SCORED_CONTEXT,
+                span["start"] + F.length(span["value"]) + V.SCORED_CONTEXT,
             )
+        )
+        words = F.lit(0)
+        for word in V.SCORED_CONTEXT_WORDS:
+            words = words + F.contains(near, F.lit(word)).cast("int")
+        total = (
+            F.get(ranks, span["pattern"])
+            + F.length(span["best"]) * F.lit(V.SCORED_LENGTH_WEIGHT)
+            + F.get(bonuses, words)
+        )
+        return F.struct(
+            total.alias("score"),
+            (-span["pattern"]).alias("by_pattern"),
+            (-span["start"]).alias("by_start"),
+            span["best"].alias("value"),
+        )
 
-        return F.transform(R.match_spans(doc.text, pattern), score)
-
-    candidates = F.concat(*[candidate(*u) for u in usable])
-    return F.array_max(candidates)["value"]
+    spans = R.match_spans(doc.text, *[p for _, p, _ in usable])
+    return F.array_max(F.transform(spans, candidate))["value"]
 
 
 @register_rule_type("multi_date")
@@ -264,8 +258,7 @@ def multi_date_rule(rule: dict, doc: Doc) -> Column:
     radius = rule.get("context_radius", 50)
     if not patterns:
         return _none()
-    spans = F.concat(*[R.match_spans(doc.text, p) for p in patterns])
-    kept = F.filter(spans, lambda s: ~is_padded_numeric(s["value"]))
+    kept = F.filter(R.match_spans(doc.text, *patterns), lambda s: ~is_padded_numeric(s["value"]))
     dated = F.transform(
         kept,
         lambda s: F.struct(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.text import bind
 from ..operators.contact import add_contact
 from ..operators.layout import ELEMENT_TYPE
 from ..operators.resolve import resolve_dates
@@ -42,8 +43,6 @@ def with_fields(
     ``applies`` restricts the pack to some rows; the others see a NULL text,
     on which every rule is free and NULL.
     """
-    # Whether a number or a month occurs at all is found out once per document
-    # and guards every date rule.
     text, elements = F.col("text"), F.lit(None).cast(f"array<{ELEMENT_TYPE}>")
     if "elements" in filings.columns:
         elements = F.col("elements")
@@ -53,7 +52,7 @@ def with_fields(
     step = step.withColumn("_lower", F.lower("_text"))
     doc = Doc(F.col("_text"), F.col("_lower"), F.col("_elements"))
     names = [f for f in dict.fromkeys(pack.fields) if only is None or f in only]
-    step = step.withColumns({f"field_{n}": rule_column(pack.rules[n], doc) for n in names})
+    step = bind(step, {f"field_{n}": rule_column(pack.rules[n], doc) for n in names})
     return step.drop("_text", "_lower", "_elements")
 
 
@@ -87,11 +86,12 @@ def _extract_branch(filings: DataFrame, pack: RulePack | None, **options) -> Dat
         }
     )
     kept = [c for c in filings.columns if c not in ("text", "elements")]
-    ok = F.col("error").isNull()
-    results = [
-        F.col(c) if c == "error" else F.when(ok, F.col(c)).alias(c) for c in RESULT_COLUMNS
-    ]
-    return step.select(*kept, *results)
+    results = {c: F.col(c) if c == "error" else F.when(F.col("error").isNull(), F.col(c))
+               for c in RESULT_COLUMNS}
+    renamed = step.select(
+        *kept, F.struct(*[c.alias(name) for name, c in results.items()]).alias("_result")
+    )
+    return renamed.select(*kept, F.inline(F.array("_result")))
 
 
 def extract(
