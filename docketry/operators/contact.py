@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.compiled import compiled
 from ..functions.text import (
+    bind,
     blank_to_null,
     contains_any,
     line_offset,
@@ -57,31 +59,40 @@ def add_exact_trigger(df: DataFrame, text: str, phrases, ignore_case: bool) -> D
     Within that line the first phrase *of the list* gives the position.  The
     steps are separate projections, so the text is searched once per phrase.
     """
-    body = F.col(text)
+    steps = compiled(
+        ("trigger", text, tuple(phrases), ignore_case),
+        lambda: _trigger_steps(F.col(text), phrases, ignore_case),
+    )
+    for columns in steps[:-1]:
+        df = df.withColumns(columns)
+    return bind(df, steps[-1]).drop("_hay", "_first", "_before", "_after", "_whole", "_line_no")
+
+
+def _trigger_steps(body: Column, phrases, ignore_case: bool) -> list[dict[str, Column]]:
     needles = [p.lower() if ignore_case else p for p in phrases]
-    step = df.withColumn("_hay", F.lower(body) if ignore_case else body)
-    found = [F.when(F.contains("_hay", F.lit(n)), position(F.col("_hay"), n)) for n in needles]
-    step = step.withColumn("_first", F.array_min(F.array(*found)))
-    step = step.withColumns(
+
+    def places(hay):
+        return [F.when(F.contains(hay, F.lit(n)), position(F.col(hay), n)) for n in needles]
+
+    breaks = F.length("_before") - F.length(F.translate("_before", "\n", ""))
+    return [
+        {"_hay": F.lower(body) if ignore_case else body},
+        {"_first": F.array_min(F.array(*places("_hay")))},
         {
             "_before": F.substring("_hay", F.lit(1), F.col("_first")),
             "_after": F.substring("_hay", F.col("_first") + 1, F.lit(2**31 - 1)),
-        }
-    )
-    step = step.withColumns(
+        },
         {
-            "_line": F.length("_before") - F.length(F.translate("_before", "\n", "")),
+            "_line_no": breaks,
             "_whole": F.concat(
                 F.substring_index("_before", "\n", -1), F.substring_index("_after", "\n", 1)
             ),
-        }
-    )
-    in_line = F.coalesce(
-        *[F.when(F.contains("_whole", F.lit(n)), position(F.col("_whole"), n)) for n in needles]
-    )
-    return step.withColumn("_index", line_offset(body, F.col("_line")) + in_line).drop(
-        "_hay", "_first", "_before", "_after", "_whole"
-    )
+        },
+        {
+            "_line": F.col("_line_no"),
+            "_index": line_offset(body, F.col("_line_no")) + F.coalesce(*places("_whole")),
+        },
+    ]
 
 
 def may_be_similar(line: str, phrase: str) -> str:
@@ -144,36 +155,40 @@ def add_contact(
     Contact texts are cut before the Python step, so whole documents never
     travel through it.
     """
-    body = F.col(text)
     step = add_exact_trigger(df, text, phrases, ignore_case)
-    step = step.withColumn("_exact", contact_at(body, F.col("_index")))
+    exact, near, pieces = compiled(
+        ("contact", text, tuple(phrases)), lambda: _contact_steps(F.col(text), phrases)
+    )
+    step = step.withColumns(exact)
     if not fuzzy:
-        return step.withColumn(out, F.col("_exact")).drop("_line", "_index", "_exact")
+        return step.withColumn(out, F.col("_exact")).drop("_line", "_index", "_exact", "_numbered")
+    step = step.withColumns(near).drop("_numbered")
+    step = step.withColumns(pieces)
+    step = step.withColumn("_hit", similarity_udf(phrases)("_near_lines"))
+    return step.withColumn(
+        out,
+        F.when(F.col("_hit") >= 0, F.get("_near_contacts", F.col("_hit"))).otherwise(
+            F.col("_exact")
+        ),
+    ).drop("_line", "_index", "_exact", "_near", "_near_lines", "_near_contacts", "_hit")
 
+
+def _contact_steps(body: Column, phrases) -> list[dict[str, Column]]:
     numbered = F.transform(
         normalized_lines(body), lambda x, i: F.struct(i.alias("at"), x.alias("line"))
     )
     tests = " OR ".join(may_be_similar("n.line", normalize_phrase(p)) for p in phrases)
-    step = step.withColumn("_numbered", numbered)
-    step = step.withColumn(
-        "_near",
-        F.expr(f"filter(_numbered, n -> (_line IS NULL OR n.at < _line) AND ({tests}))"),
-    ).drop("_numbered")
-    step = step.withColumns(
+    possible = F.expr(f"filter(_numbered, n -> (_line IS NULL OR n.at < _line) AND ({tests}))")
+    return [
+        {"_exact": contact_at(body, F.col("_index")), "_numbered": numbered},
+        {"_near": possible},
         {
             "_near_lines": F.transform("_near", lambda n: n["line"]),
             "_near_contacts": F.transform(
                 "_near", lambda n: contact_at(body, line_offset(body, n["at"]))
             ),
-        }
-    )
-    step = step.withColumn("_hit", similarity_udf(phrases)("_near_lines"))
-    return step.withColumn(
-        out,
-        F.when(F.col("_hit") >= 0, F.get("_near_contacts", F.col("_hit"))).otherwise(
-            F.col("_exact")
-        ),
-    ).drop("_line", "_index", "_exact", "_near", "_near_lines", "_near_contacts", "_hit")
+        },
+    ]
 
 
 def add_strict_contact(df: DataFrame, text: str, out: str, **kw) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.compiled import compiled
 from ..functions.dates import (
     is_date_field,
     is_padded_numeric,
@@ -146,24 +147,18 @@ def resolve_dates(
     such a document becomes an error row, or takes the earliest true date when
     ``null_safe``.  Steps are separate projections, so no array is built twice.
     """
+    for columns in compiled(
+        ("resolve", tuple(fields), column, tuple(skip), null_safe),
+        lambda: _resolution_steps(fields, column, skip, null_safe),
+    ):
+        df = df.withColumns(columns)
+    return df.drop("_candidates", "_primary", "_true", "_primary_date", "_first", "_last")
+
+
+def _resolution_steps(fields, column, skip, null_safe) -> list[dict[str, Column]]:
     multi = column(V.MULTI_DATE_FIELD) if V.MULTI_DATE_FIELD in fields else F.lit(None).cast("string")
-    step = df.withColumn("_candidates", candidate_array(fields, column))
-    step = step.withColumns(
-        {
-            "all_incident_dates": all_incident_dates(F.col("_candidates")),
-            "_primary": primary_candidate(F.col("_candidates")),
-        }
-    )
-    step = step.withColumns(
-        {
-            "_true": true_dates(F.col("all_incident_dates"), multi, skip),
-            "_primary_date": parse_date(F.col("_primary.value")),
-        }
-    )
     first = F.get("_true", F.lit(0))
     last = F.get("_true", F.size("_true") - 1)
-    step = step.withColumns({"_first": first, "_last": last})
-
     has_true = F.col("_first").isNotNull()
     uncomparable = has_true & F.col("_primary").isNotNull() & F.col("_primary_date").isNull()
     earlier = has_true & (
@@ -176,16 +171,26 @@ def resolve_dates(
         error = F.when(uncomparable, F.lit(V.NULL_COMPARE_ERROR))
     earlier = F.coalesce(earlier, F.lit(False))
     is_range = has_true & (F.col("_first.standard_date") != F.col("_last.standard_date"))
-    return step.withColumns(
+
+    def either(kind, of_true, of_primary):
+        return {kind: F.when(earlier, F.col(of_true)).otherwise(F.col(of_primary))}
+
+    return [
+        {"_candidates": candidate_array(fields, column)},
         {
-            "incident_date": F.when(earlier, F.col("_first.original_date")).otherwise(
-                F.col("_primary.value")
-            ),
-            "incident_source_field": F.when(earlier, F.col("_first.source_field")).otherwise(
-                F.col("_primary.field")
-            ),
+            "all_incident_dates": all_incident_dates(F.col("_candidates")),
+            "_primary": primary_candidate(F.col("_candidates")),
+        },
+        {
+            "_true": true_dates(F.col("all_incident_dates"), multi, skip),
+            "_primary_date": parse_date(F.col("_primary.value")),
+        },
+        {"_first": first, "_last": last},
+        {
+            **either("incident_date", "_first.original_date", "_primary.value"),
+            **either("incident_source_field", "_first.source_field", "_primary.field"),
             "incident_end_date": F.when(is_range, F.col("_last.original_date")),
             "incident_end_source_field": F.when(is_range, F.col("_last.source_field")),
             "date_error": error,
-        }
-    ).drop("_candidates", "_primary", "_true", "_primary_date", "_first", "_last")
+        },
+    ]

@@ -7,17 +7,19 @@ through.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.compiled import compiled
 from ..functions.text import bind
 from ..operators.contact import add_contact
 from ..operators.layout import ELEMENT_TYPE
 from ..operators.resolve import resolve_dates
-from ..operators.rules import Doc, emails, rule_column
+from ..operators.rules import RULE_TYPES, Doc, emails, rule_column
 from ..sources.packs import RulePack, merge_equal
 
 MISSING_TEXT = "document text is missing"
@@ -50,12 +52,18 @@ def with_fields(
         text, elements = F.when(applies, text), F.when(applies, elements)
     step = filings.withColumns({"_text": text, "_elements": elements})
     step = step.withColumn("_lower", F.lower("_text"))
-    doc = Doc(F.col("_text"), F.col("_lower"), F.col("_elements"))
     names = [f for f in dict.fromkeys(pack.fields) if only is None or f in only]
-    step = bind(step, {f"field_{n}": rule_column(pack.rules[n], doc) for n in names})
+    step = bind(step, {f"field_{n}": _compiled_rule(pack.rules[n]) for n in names})
     return step.drop("_text", "_lower", "_elements")
 
 
+def _compiled_rule(rule: dict) -> Column:
+    """Column of a rule over ``_text``, ``_lower`` and ``_elements``."""
+    key = ("rule", RULE_TYPES.get(rule.get("type", "")), json.dumps(rule, sort_keys=True))
+    doc = Doc(F.col("_text"), F.col("_lower"), F.col("_elements"))
+    return compiled(key, lambda: rule_column(rule, doc))
+
+
 def extracted_map(fields: list[str]) -> Column:
     """The recorded fields as a map; fields without a value are absent."""
     names = list(dict.fromkeys(fields))
@@ -68,7 +76,8 @@ def extracted_map(fields: list[str]) -> Column:
 
 
 def _extract_branch(filings: DataFrame, pack: RulePack | None, **options) -> DataFrame:
-    step = filings.withColumn("emails", emails(F.col("text")))
+    found = compiled("emails", lambda: emails(F.col("text")))
+    step = filings.withColumn("emails", found)
     step = add_contact(step, "text", "plaintiff_contact", fuzzy=options.pop("fuzzy", True))
     fields: list[str] = []
     if pack is not None:
