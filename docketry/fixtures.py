@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import strip
+from .functions.text import let, strip
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -165,14 +165,16 @@ def with_elements(filings: DataFrame) -> DataFrame:
 
     A value after a label line (ending in ``:``) stands right of the label.
     """
-    lines = F.transform(F.split("text", "\n", -1), strip)
-    numbered = F.transform(
-        lines,
-        lambda x, i: F.struct(
-            x.alias("text"), i.alias("line_no"),
-            F.endswith(F.coalesce(F.get(lines, i - 1), F.lit("")), F.lit(":")).alias("labelled"),
-        ),
-    )
+    def number(lines):
+        return F.transform(
+            lines,
+            lambda x, i: F.struct(
+                x.alias("text"), i.alias("line_no"),
+                F.endswith(F.coalesce(F.get(lines, i - 1), F.lit("")), F.lit(":")).alias("labelled"),
+            ),
+        )
+
+    numbered = let(F.transform(F.split("text", "\n", -1), strip), number)
     filled = F.filter(numbered, lambda e: F.length(e["text"]) > 0)
 
     def element(e, i):

@@ -66,6 +66,15 @@ def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(row))) if columns else df
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression named inside a lambda is computed again for every element;
+    a one-element array holds its result instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def line_offset(text: Column, line_no: Column) -> Column:
     """Character offset at which line ``line_no`` (0-based) of ``text`` begins."""
     before = F.call_function("substring_index", text, F.lit("\n"), line_no)

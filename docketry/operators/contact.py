@@ -20,6 +20,7 @@ from ..functions.text import (
     bind,
     blank_to_null,
     contains_any,
+    let,
     line_offset,
     normalized_lines,
     position,
@@ -45,7 +46,7 @@ def clean_contact(window: Column, keep_blank: bool = False) -> Column:
         at = F.array_position(cuts, F.lit(True)).cast("int")
         return F.when(at > 0, F.slice(kept, F.lit(1), at - 1)).otherwise(kept)
 
-    cut = F.flatten(F.transform(F.array(kept), until_cutoff))
+    cut = let(kept, until_cutoff)
     return blank_to_null(F.array_join(F.transform(cut, lambda x: x["line"]), "\n"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.text import contains_any, strip
+from ..functions.text import contains_any, let, strip
 
 ELEMENT_TYPE = "struct<page:int,elem_idx:int,text:string,x0:double,x1:double,y0:double>"
 _BUCKET = V.FOLLOWING_ELEMENTS + 1
@@ -66,10 +66,12 @@ def nearest_word(elements: Column, rule: dict) -> Column:
     )
 
     def following(e):
-        anchor = F.get(elements, e["at"])
-        near = F.filter(
-            F.slice(elements, e["at"] + 2, F.lit(V.FOLLOWING_ELEMENTS)),
-            lambda o: _right_of(anchor, o) & (o["x0"] - anchor["x1"] < reach),
+        after = F.slice(elements, e["at"] + 2, F.lit(V.FOLLOWING_ELEMENTS))
+        near = let(
+            F.get(elements, e["at"]),
+            lambda anchor: F.filter(
+                after, lambda o: _right_of(anchor, o) & (o["x0"] - anchor["x1"] < reach)
+            ),
         )
         return F.transform(F.slice(near, 1, wanted), lambda o: o["text"])
 
@@ -79,7 +81,7 @@ def nearest_word(elements: Column, rule: dict) -> Column:
             F.transform(listed, lambda k: F.filter(hits, lambda e: F.contains(e["low"], k)))
         )
 
-    ordered = F.flatten(F.transform(F.array(hits), by_keyword))
+    ordered = let(hits, by_keyword)
     found = F.filter(F.transform(ordered, following), lambda words: F.size(words) > 0)
     words = F.get(found, F.lit(0))
     return cut_at_delimiter(F.array_join(words, " "), rule.get("extract_until", []))

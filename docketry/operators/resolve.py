@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.compiled import compiled
+from ..functions.text import let
 from ..functions.dates import (
     is_date_field,
     is_padded_numeric,
@@ -111,18 +112,24 @@ def true_dates(all_dates: Column, multi_value: Column, skip=V.KNOWN_FILING_DATES
         listed, lambda p: _dated(p["part"], parse_date(p["bare"]), F.lit(V.MULTI_DATE_FIELD))
     )
     extra = F.filter(extra, lambda d: d["standard_date"].isNotNull())
-    merged = F.concat(own, F.coalesce(extra, F.slice(own, 1, 0)))
 
-    def new_or_own(merged):
+    def new_or_own(own):
         # own dates all stay; an extra one only when its date is new so far
-        standards = F.transform(merged, lambda d: d["standard_date"])
-        return F.filter(
-            merged,
-            lambda d, i: (i < F.size(own))
-            | (F.array_position(standards, d["standard_date"]) == i + 1),
+        merged = F.concat(own, F.coalesce(extra, F.slice(own, 1, 0)))
+        return let(
+            F.struct(
+                merged.alias("dates"),
+                F.transform(merged, lambda d: d["standard_date"]).alias("standards"),
+                F.size(own).alias("own"),
+            ),
+            lambda all_: F.filter(
+                all_["dates"],
+                lambda d, i: (i < all_["own"])
+                | (F.array_position(all_["standards"], d["standard_date"]) == i + 1),
+            ),
         )
 
-    kept = F.flatten(F.transform(F.array(merged), new_or_own))
+    kept = let(own, new_or_own)
     ranked = F.transform(
         kept,
         lambda d, i: F.struct(

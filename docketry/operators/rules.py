@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import regex as R
 from ..functions.dates import is_padded_numeric, parse_date
-from ..functions.text import blank_to_null, contains_any, position, strip, window
+from ..functions.text import blank_to_null, let, position, strip, window
 from .layout import nearest_word
 
 
@@ -104,8 +104,7 @@ def section_rule(rule: dict, doc: Doc) -> Column:
         end = F.least(length, *stops) if stops else length
         return F.when(start < end, strip(F.substring(doc.text, start + 1, end - start)))
 
-    # the one-element array binds ``start`` once for all end keywords
-    return F.when(start.isNotNull(), F.get(F.transform(F.array(start), cut), F.lit(0)))
+    return F.when(start.isNotNull(), let(start, cut))
 
 
 @register_rule_type("facts_pattern")
@@ -268,11 +267,13 @@ def multi_date_rule(rule: dict, doc: Doc) -> Column:
     )
 
     def first_of_each(dated):
-        standards = F.transform(dated, lambda d: d["standard"])
-        return F.filter(
-            dated,
-            lambda d, i: d["standard"].isNull()
-            | (F.array_position(standards, d["standard"]) == i + 1),
+        return let(
+            F.transform(dated, lambda d: d["standard"]),
+            lambda standards: F.filter(
+                dated,
+                lambda d, i: d["standard"].isNull()
+                | (F.array_position(standards, d["standard"]) == i + 1),
+            ),
         )
 
     def rank(d, i):
@@ -296,8 +297,7 @@ def multi_date_rule(rule: dict, doc: Doc) -> Column:
             i.alias("by_pattern"), label.alias("label"),
         )
 
-    # one-element array: binds the date list once for the duplicate test
-    unique = F.flatten(F.transform(F.array(dated), first_of_each))
+    unique = let(dated, first_of_each)
     top = F.slice(F.array_sort(F.transform(unique, rank)), 1, V.MULTI_DATE_TOP)
     joined = F.array_join(F.transform(top, lambda r: r["label"]), V.MULTI_DATE_SEPARATOR)
     return joined
