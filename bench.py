@@ -14,7 +14,7 @@ from docketry.registry.queries import QUERIES
 from docketry.session import build_session
 
 HEADLINES = (
-    "a1_summary", "o1_report", "d9_range", "pack_all_fields", "f1_regex", "f2_nearest_word_array",
+    "a1_summary", "pack_all_fields", "f1_regex", "f2_nearest_word_array",
     "f2_nearest_word_join", "f3_section", "f6_fuzzy_date", "f7_contextual", "f8_multi_pattern",
     "f9_multi_date", "f10_emails", "f10_emails_documents", "c1_batch_trigger",
     "c3_fuzzy_trigger_documents", "n1_normalize_text", "n2_lines", "s4_page_concat",
