@@ -31,16 +31,18 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of a partition as numbers into the block's sorted distinct word hashes."""
+    """Texts of a partition as numbers into the block's distinct word hashes, the most frequent ones first."""
     ids, held, sizes, hashes, tokens, number = [], [], [], [], 0, 0
     here = TaskContext.get().partitionId()
 
     def close() -> pa.RecordBatch:
-        vocabulary, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        vocabulary, place, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # small numbers for frequent words
+        vocabulary, place = vocabulary[order], np.argsort(order, kind="stable")[place]
         n, out = np.concatenate(sizes), np.concatenate(held)
         row = (
             here << 24 | number, np.concatenate(ids).tolist(), out.tolist(), n.tolist(), int(n[~out].sum()),
-            vocabulary.tobytes(), place.astype(np.uint32).tobytes(),
+            vocabulary.tobytes(), tally.squeezed(place.astype(np.uint32)),
         )
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary())
         names = ["block", "doc_ids", "held_out", "n", "n_train", "vocabulary", "tokens"]
@@ -66,19 +68,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Vocabulary, token numbers, context numbers, bigram hashes, which tokens are of training texts."""
     vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
-    token = np.frombuffer(row["tokens"], np.uint32)
+    token = tally.restored(row["tokens"], np.uint32)
     n = np.array(row["n"])
     context = np.empty_like(token)
     context[1:] = token[:-1]
-    context[np.cumsum(n) - n] = np.searchsorted(vocabulary, END)
+    context[np.cumsum(n) - n] = token[-1]  # the last token ends a text
     return vocabulary, token, context, mix(vocabulary[context] * P + vocabulary[token]), ~np.repeat(np.array(row["held_out"], bool), n)
 
 
 def _context(t: pa.Table | pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Row, bigram, context and word counts and training flags by token."""
     for row in t.to_pylist():
-        n, token = np.array(row["n"]), np.frombuffer(row["tokens"], np.uint32)
-        uni, bi = np.frombuffer(row["uni"], np.int64), np.frombuffer(row["bi"], np.uint32).astype(np.int64)
+        n, token = np.array(row["n"]), tally.restored(row["tokens"], np.uint32)
+        uni, bi = tally.restored(row["uni"], np.int64), tally.restored(row["bi"], np.uint32).astype(np.int64)
         cw = uni[token]
         cv = np.empty_like(cw)
         cv[1:] = cw[:-1]
@@ -123,7 +125,7 @@ def score_texts(docs: DataFrame, held_out: Column, shards: int | None = None) ->
         for row in (r for b in batches for r in b.to_pylist()):
             vocabulary, token, _, pair, train = _pairs(row)
             counts = np.bincount(token[train], minlength=len(vocabulary))
-            order = np.argsort((vocabulary >> np.uint64(32)) % np.uint64(shards), kind="stable")
+            order = np.lexsort((vocabulary, (vocabulary >> np.uint64(32)) % np.uint64(shards)))
             yield from tally.request(row["block"], vocabulary[order], counts[order], shards, wide=True).to_batches()
             names, place = np.unique(tally.named(pair, shards), return_inverse=True)
             yield from tally.request(row["block"], names, np.bincount(place[train], minlength=len(names)), shards, wide=False).to_batches()
@@ -135,12 +137,12 @@ def score_texts(docs: DataFrame, held_out: Column, shards: int | None = None) ->
         out = []
         for row in t.to_pylist():
             vocabulary, _, _, pair, _ = _pairs(row)
-            order = np.argsort((vocabulary >> np.uint64(32)) % np.uint64(shards), kind="stable")
+            order = np.lexsort((vocabulary, (vocabulary >> np.uint64(32)) % np.uint64(shards)))
             uni = np.empty(len(vocabulary), np.int64)
             uni[order] = tally.joined(answers, np.int64, wide=True)
             names, place = np.unique(tally.named(pair, shards), return_inverse=True)
             bi = tally.joined(answers, np.uint32, wide=False)[place]
-            out.append({k: row[k] for k in ("doc_ids", "held_out", "n", "tokens")} | {"uni": uni.tobytes(), "bi": bi.tobytes(), "distinct": None})
+            out.append({k: row[k] for k in ("doc_ids", "held_out", "n", "tokens")} | {"uni": tally.squeezed(uni), "bi": tally.squeezed(bi), "distinct": None})
         if not out:  # what shards say of themselves
             out = [{"distinct": sum(int(x.as_py()) for x in answers["found"])}]
         return pa.Table.from_pylist(out, COUNTED_ARROW)

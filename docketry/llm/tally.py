@@ -28,6 +28,19 @@ ANSWER_ARROW = pa.schema(
 )
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers as bytes, all first bytes together and so on, compressed: small numbers cost about a byte or less."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def restored(data: bytes | pa.Buffer, dtype) -> np.ndarray:
+    """What ``squeezed`` made bytes of."""
+    data = memoryview(data)
+    planes = pa.Codec("zstd").decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T.copy().view(dtype).reshape(-1)
+
+
 def named(hashes: np.ndarray, shards: int) -> np.ndarray:
     """Narrow names: the shard above 32 bits of the hash; their order is by shard."""
     return ((hashes >> np.uint64(32)) % np.uint64(shards) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
@@ -57,7 +70,7 @@ def request(block: int, found: np.ndarray, counts: np.ndarray, shards: int, wide
         [
             pa.array(np.full(len(used), block, np.int64)), pa.array(used.astype(np.int32)), pa.array([wide] * len(used), pa.bool_()),
             pa.array([keys[at[s] : at[s + 1]].tobytes() for s in used], pa.binary()),
-            pa.array([counts[at[s] : at[s + 1]].tobytes() for s in used], pa.binary()),
+            pa.array([squeezed(counts[at[s] : at[s + 1]]) for s in used], pa.binary()),
         ],
         schema=REQUEST_ARROW,
     )
@@ -76,10 +89,10 @@ def answered(requests: DataFrame, answer: Callable[[np.ndarray, np.ndarray], np.
         keys = packed(t["keys"], np.uint64 if wide else np.uint32)
         every = np.concatenate(keys)
         _, place = np.unique(every, return_inverse=True)
-        sums = np.bincount(place, weights=np.concatenate(packed(t["counts"], np.uint32)))
+        sums = np.bincount(place, weights=np.concatenate([restored(x.as_buffer(), np.uint32) for x in t["counts"]]))
         total = sums[place].astype(np.int64)
         cuts = np.cumsum([0, *map(len, keys)])
-        found = [answer(k, total[a:b]).tobytes() for k, a, b in zip(keys, cuts, cuts[1:], strict=False)]
+        found = [squeezed(answer(k, total[a:b])) for k, a, b in zip(keys, cuts, cuts[1:], strict=False)]
         block, shard = t["block"].to_pylist(), t["shard"].to_pylist()
         if distinct and wide:
             block, shard, found = [*block, -1], [*shard, shard[0]], [*found, b"%d" % (sums > 0).sum()]
@@ -91,5 +104,5 @@ def answered(requests: DataFrame, answer: Callable[[np.ndarray, np.ndarray], np.
 def joined(answers: pa.Table, dtype, wide: bool) -> np.ndarray:
     """A block's answers in the order of its names."""
     rows = answers.filter(pa.compute.equal(answers["wide"], wide)).sort_by("shard")
-    parts = packed(rows["found"], dtype)
+    parts = [restored(x.as_buffer(), dtype) for x in rows["found"]]
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
