@@ -165,7 +165,7 @@ def score_texts(docs: DataFrame, held_out: Column, shards: int | None = None) ->
                 cell = (bucket(cv) * 100 + q2) * 100 + q1
                 found, place, n = np.unique(cell, return_inverse=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found), pa.array(n), pa.array(np.bincount(place, p2, len(found))), pa.array(np.bincount(place, p1, len(found)))],
+                    [pa.array(found), pa.array(n), *(pa.array(np.bincount(place, p, len(found)).astype(np.float64)) for p in (p2, p1))],
                     names=["cell", "n", "p2", "p1"],
                 )
 
