@@ -18,5 +18,7 @@ def compiled(key: Hashable, build: Callable[[], Any]) -> Any:
     context = SparkContext._active_spark_context
     full = (context.applicationId if context else None, key)
     if full not in _built:
+        for old in [k for k in _built if k[0] != full[0]]:  # of applications that have ended
+            del _built[old]
         _built[full] = build()
     return _built[full]

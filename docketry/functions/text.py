@@ -1,7 +1,9 @@
-"""Text preparation as plain column expressions (all inside whole-stage codegen)."""
+"""Text preparation as plain column expressions; those with lambdas are interpreted, the others are compiled."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def window(text: Column, start: Column, end: Column) -> Column:
 
 def contains_any(col: Column, terms) -> Column:
     """True when ``col`` holds at least one of the literal ``terms``."""
-    return F.rlike(col, F.lit("|".join(rf"\Q{term}\E" for term in terms)))
+    return F.rlike(col, F.lit("|".join(re.sub(r"([^\w\s])", r"\\\1", term) for term in terms)))
 
 
 def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,13 +33,15 @@ def build_session(master: str | None = None, **settings) -> SparkSession:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint folder the cluster names.
 
-    Only where no such folder is set (tests on one machine) a temporary one is
-    made and set.
+    Only where no such folder is set and all tasks run on this machine (tests)
+    a temporary one is made and set; a cluster has to name its own.
     """
     base = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_SETTING
     )
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="docketry-")
         spark.conf.set(CHECKPOINT_SETTING, base)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
