@@ -1,4 +1,8 @@
-"""Near-duplicate vectors: spherical k-means cells, blocked cosine products inside cells, one vector kept per group."""
+"""Near-duplicate vectors: spherical k-means cells, blocked cosine products inside cells, one vector kept per group.
+
+Each vector lives in the cell of its nearest centre and visits the cells whose centres are not much farther. In a cell
+the vectors that live there are compared with all that are there; visitors are not compared with one another.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +18,11 @@ from .common import stored
 from .components import components
 
 #: Vectors that k-means sees at most (the smallest hashes); every vector is put into cells.
-SAMPLE, CELL, MAX_CELLS, BLOCK = 16_384, 256, 1024, 512
-#: A vector also goes to cells whose centre is at most so many degrees farther than the nearest. Two vectors at angle
-#: f share a cell for certain where 2 f <= MARGIN, and nearly always beyond: the angles to a centre differ by about f / sqrt(dimensions).
+SAMPLE, CELL, MAX_CELLS = 16_384, 256, 1024
+#: Of a cell, vectors that live there and vectors they are compared with in one group, at most about; rows of one product.
+BLOCK, OTHERS, ROWS = 2048, 8192, 256
+#: A vector also visits cells whose centre is at most so many degrees farther than the nearest. Of two vectors at angle f
+#: one visits the other's cell for certain where 2 f <= MARGIN, and nearly always beyond: the angles to a centre differ by about f / sqrt(dimensions).
 MARGIN = 8.0
 
 
@@ -33,8 +40,9 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> n
     return centres
 
 
-def _unit(column: pa.ChunkedArray) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64)
+def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of length 1; the lists are of one length and hold no null."""
+    x = np.asarray(pc.list_flatten(column)).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -102,43 +110,61 @@ def _compare(classes: DataFrame, cosine: float, cell: int, margin: float) -> tup
                 angle = np.degrees(np.arccos(np.clip(x @ centres[s].T, -1, 1)))
                 near = angle <= angle.min(1, keepdims=True) + margin
                 row, c = np.nonzero(near)
-                cells = pa.array([np.flatnonzero(r).astype(np.int32) for r in near], pa.list_(pa.int32()))
+                home = angle.argmin(1).astype(np.int32)[row]
+                lives = home == c
+                cells = [np.flatnonzero(r).astype(np.int32) for r in near]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.astype(np.int32)), *(own[k].take(pa.array(row)) for k in ("size", "class", "copies", "e")), cells.take(pa.array(row))],
-                    names=["cell", "size", "class", "copies", "e", "cells"],
+                    [
+                        pa.array(c.astype(np.int32)), pa.array(home), *(own[k].take(pa.array(row)) for k in ("size", "class", "copies", "e")),
+                        pa.array([cells[r] if here else None for r, here in zip(row, lives, strict=True)], pa.list_(pa.int32())),
+                    ],
+                    names=["cell", "home", "size", "class", "copies", "e", "cells"],
                 )
 
-    put = stored(classes.mapInArrow(assign, "cell int, size int, class long, copies long, e array<double>, cells array<int>"))
+    put = stored(classes.mapInArrow(assign, "cell int, home int, size int, class long, copies long, e array<double>, cells array<int>"))
+    lives = F.col("cell") == F.col("home")
     # at most MAX_CELLS rows for each length of vector
-    parts = put.groupBy("size", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("class", "cell"), "parts").cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = put.join(parts, ["size", "cell"]).withColumn("part", part).select("*", other).select(
-        "size", "cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "class", "copies", "e", "cells"
+    parts = put.groupBy("size", "cell").agg(
+        F.greatest(F.ceil(F.count_if(lives) / BLOCK), F.lit(1)).cast("int").alias("blocks"), F.ceil(F.count("*") / OTHERS).cast("int").alias("others")
+    )
+
+    def part(of: str):
+        return F.pmod(F.xxhash64("class", "cell"), of).cast("int")
+
+    def every(of: str, place):
+        return F.transform(F.sequence(F.lit(0), F.col(of) - 1), place)
+
+    as_left = every("others", lambda j: F.struct(part("blocks").alias("i"), j.alias("j"), F.lit(True).alias("left")))
+    as_right = every("blocks", lambda i: F.struct(i.alias("i"), part("others").alias("j"), F.lit(False).alias("left")))
+    dealt = put.join(parts, ["size", "cell"]).select(
+        "cell", "home", "size", "class", "copies", "e", "cells", F.inline(F.when(lives, F.concat(as_left, as_right)).otherwise(as_right))
     )
 
     def compare(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        here, part, i, j = t["cell"][0].as_py(), np.array(t["part"]), t["i"][0].as_py(), t["j"][0].as_py()
-        x, ids, copies = _unit(t["e"]), np.array(t["class"]), np.array(t["copies"])
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        a, b = np.nonzero(x[left] @ x[right].T >= cosine) if len(left) and len(right) else (left[:0], left[:0])
-        a, b = left[a], right[b]
-        if i == j:
-            a, b = a[a < b], b[a < b]
-        if len(a):
-            # pairs that share an earlier cell are counted there
-            width = max(map(len, cells := t["cells"].to_pylist()))
-            of = np.full((len(cells), width), -1)
-            for r, c in enumerate(cells):
-                of[r, : len(c)] = c
-            early = np.zeros(len(a), bool)
-            for p, q in ((p, q) for p in range(width) for q in range(width)):
-                early |= (of[a, p] == of[b, q]) & (of[a, p] >= 0) & (of[a, p] < here)
-            a, b = a[~early], b[~early]
-        n = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-        label = _forest(len(ids), a, b)
-        some = np.flatnonzero(n)
+        here, side = t["cell"][0].as_py(), np.array(t["left"])
+        x, ids, copies, home = _unit(t["e"]), np.array(t["class"]), np.array(t["copies"], np.float64), np.array(t["home"])
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        visits = home[right] != here
+        # a pair that each other's cells see is counted in the cell with the smaller number
+        other = np.zeros((len(left), max(int(home.max()), here) + 1), bool)
+        for row, cells in enumerate(t["cells"].filter(pa.array(side)).to_pylist()):
+            other[row, [c for c in cells if c < min(here, other.shape[1])]] = True
+        n, label = np.zeros(len(ids)), np.arange(len(ids))
+        for low in range(0, len(left), ROWS):
+            rows = left[low : low + ROWS]
+            link = x[rows] @ x[right].T >= cosine
+            link &= (ids[rows][:, None] != ids[right]) & ~(other[low : low + ROWS][:, home[right]] & visits)
+            n[rows] += link @ copies[right]
+            # two that live here meet twice, once from either side
+            n[right[visits]] += copies[rows] @ link[:, visits]
+            while True:
+                open_ = link & (label[rows][:, None] != label[right])
+                some = np.flatnonzero(open_.any(1))
+                if not len(some):
+                    break
+                met = right[open_[some].argmax(1)]
+                label = _forest(len(ids), np.concatenate([np.arange(len(ids)), rows[some]]), np.concatenate([label, met]))
+        some = np.flatnonzero((n > 0) | (label != np.arange(len(ids))))
         return pa.table({"class": pa.array(ids[some]), "n": pa.array(n[some].astype(np.int64)), "first": pa.array(ids[label[some]])})
 
     found = stored(dealt.groupBy("size", "cell", "i", "j").applyInArrow(compare, "class long, n long, first long"))
