@@ -4,7 +4,8 @@
 2. Shingles are counted everywhere (tally). Each set orders its shingles by (count, hash), the rare ones first. A pair
    with similarity t shares a shingle among the first n - ceil(t n) + 1 of either set (prefix filter); shingles that
    one class alone has need no list.
-3. Index lists: the classes with one shingle in the prefix, ordered by set size, with the place of the shingle.
+3. Index lists: the classes with one shingle in the prefix, ordered by the place of the shingle there. A set with few
+   shingles of its own, such as the text that others are edits of, has the shared ones at early places and comes first.
 4. Lists are read in rounds of blocks of heads, each four times as long as the one before; the members behind a head are
    compared with it, but only those that size and place allow, and only those not yet in the head's component. So the
    answers of a set serve all sets found to be similar to it, a list whose members are all in one component is
@@ -138,7 +139,7 @@ def _index(docs: DataFrame, k: int, percent: int, blocks: int) -> DataFrame:
 
 def _pairs(lists: DataFrame, of: DataFrame, first: int, last: int, percent: int) -> DataFrame:
     """a, b, shared: members b behind heads a number first to last - 1 of their lists, in another component than a."""
-    in_list = Window.partitionBy("token").orderBy("n", "class")
+    in_list = Window.partitionBy("token").orderBy("place", "n", "class")
     now = (
         lists.join(of, lists["class"] == of["node"], "left")
         .select("token", "class", "n", "place", F.coalesce("component", "class").alias("component"))
@@ -153,7 +154,7 @@ def _pairs(lists: DataFrame, of: DataFrame, first: int, last: int, percent: int)
     most = F.least("pa", "place") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("n") - F.col("place") - 1)
     return (
         now.join(heads, "token").where((F.col("at") > F.col("ata")) & (F.col("component") != F.col("ca")))
-        .where((F.col("na") * 100 >= F.col("n") * percent) & (most >= need))
+        .where((F.least("na", "n") * 100 >= F.greatest("na", "n") * percent) & (most >= need))
         .groupBy("a", F.col("class").alias("b")).agg(F.count("*").alias("shared"))
     )
 
