@@ -7,7 +7,7 @@
 3. Index lists: the classes with one shingle in the prefix, ordered by the place of the shingle there. A set with few
    shingles of its own, such as the text that others are edits of, has the shared ones at early places and comes first.
 4. Lists are read in rounds of blocks of heads, each four times as long as the one before; the members behind a head are
-   compared with it, but only those that size and place allow, and only those not yet in the head's component. So the
+   compared with it, but only those that size, place and the shingles no other set has allow, and only those not yet in the head's component. So the
    answers of a set serve all sets found to be similar to it, a list whose members are all in one component is
    skipped whole, and yet no link between different components is missed: in the end each pair of a list has been
    compared or is known to be connected.
@@ -26,10 +26,10 @@ from .components import components
 from .words import P, mix, slices, windows, words
 
 DOC, LIST, SET = 0, 1, 2
-FOUND = "kind int, doc_id long, class long, n int, token long, place int, shingles binary"
+FOUND = "kind int, doc_id long, class long, n int, token long, place int, own int, shingles binary"
 FOUND_ARROW = pa.schema(
     [("kind", pa.int32()), ("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("token", pa.int64()),
-     ("place", pa.int32()), ("shingles", pa.binary())]
+     ("place", pa.int32()), ("own", pa.int32()), ("shingles", pa.binary())]
 )
 HEADS, GROWTH = 4, 4
 
@@ -116,19 +116,20 @@ def _index(docs: DataFrame, k: int, percent: int, blocks: int) -> DataFrame:
         parts = [s for _, s, _, stands in every if stands]
         names, _ = tally.by_shard(np.concatenate(parts) if parts else np.zeros(0, np.uint64), blocks, wide=False)
         codes = tally.joined(told.filter(pa.compute.is_valid(told["wide"])), np.uint8, wide=False)
-        out = [(DOC, doc_id, c, len(s), None, None, None) for doc_id, s, c, _ in every]
+        out = [(DOC, doc_id, c, len(s), None, None, None, None) for doc_id, s, c, _ in every]
         for _, s, c, stands in every:
             if not stands:
                 continue
             n, code = len(s), codes[np.searchsorted(names, tally.named(s, blocks))]
             prefix = n - _fewest(n, percent) + 1
-            if (code == 1).sum() >= prefix:
+            alone = int((code == 1).sum())
+            if alone >= prefix:
                 continue
             order = np.lexsort((s, code))[:prefix]
             places = np.flatnonzero(code[order] > 1)
             tokens = s[order[places]].view(np.int64)
-            out += [(LIST, None, c, n, x, p, None) for x, p in zip(tokens.tolist(), places.tolist(), strict=True)]
-            out.append((SET, None, c, n, None, None, s.tobytes()))
+            out += [(LIST, None, c, n, x, p, alone, None) for x, p in zip(tokens.tolist(), places.tolist(), strict=True)]
+            out.append((SET, None, c, n, None, None, None, s.tobytes()))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), FOUND_ARROW, strict=True)], schema=FOUND_ARROW)
 
     told = elsewhere
@@ -142,16 +143,17 @@ def _pairs(lists: DataFrame, of: DataFrame, first: int, last: int, percent: int)
     in_list = Window.partitionBy("token").orderBy("place", "n", "class")
     now = (
         lists.join(of, lists["class"] == of["node"], "left")
-        .select("token", "class", "n", "place", F.coalesce("component", "class").alias("component"))
+        .select("token", "class", "n", "place", "own", F.coalesce("component", "class").alias("component"))
         .withColumn("least", F.min("component").over(Window.partitionBy("token")))
         .withColumn("most", F.max("component").over(Window.partitionBy("token")))
         .where("least < most").withColumn("at", F.row_number().over(in_list) - 1)
     )
     heads = now.where((F.col("at") >= first) & (F.col("at") < last)).select(
-        "token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca"), F.col("at").alias("ata")
+        "token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("own").alias("oa"), F.col("component").alias("ca"), F.col("at").alias("ata")
     )
     need = F.ceil((F.col("na") + F.col("n")) * percent / (100.0 + percent) - 1e-6)
-    most = F.least("pa", "place") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("n") - F.col("place") - 1)
+    # shingles that one set has alone stand first, and are in no intersection
+    most = F.least(F.col("pa") - F.col("oa"), F.col("place") - F.col("own")) + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("n") - F.col("place") - 1)
     return (
         now.join(heads, "token").where((F.col("at") > F.col("ata")) & (F.col("component") != F.col("ca")))
         .where((F.least("na", "n") * 100 >= F.greatest("na", "n") * percent) & (most >= need))
@@ -171,7 +173,7 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80, blocks: int |
     """
     found = stored(_index(docs, k, percent, blocks or n_blocks(docs)), "kind")
     rows = found.where(f"kind = {DOC}").select("doc_id", "n", "class")
-    lists = found.where(f"kind = {LIST}").select("token", "class", "n", "place")
+    lists = found.where(f"kind = {LIST}").select("token", "class", "n", "place", "own")
     sets = found.where(f"kind = {SET}").select("class", "shingles")
     of = docs.sparkSession.createDataFrame([], "node long, component long")
     longest = lists.groupBy("token").count().agg(F.max("count")).first()[0] or 0
