@@ -126,12 +126,10 @@ SPREAD_KEYS = {"orders": "o_orderkey", "documents": "doc_id"}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table.  One file gives one task, and the filing text made from an
-    order costs far more than reading it: few files are spread over all cores."""
+    order costs far more than reading it: rows are dealt out by key, at every size alike."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_KEYS and len(df.inputFiles()) < cores:
-        df = df.repartition(cores, SPREAD_KEYS[name])
-    return df
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
 
 
 def run_sql(spark: SparkSession, sf_dir: str, ctes: list[str], select: str, **frames) -> DataFrame:

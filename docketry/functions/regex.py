@@ -32,6 +32,12 @@ def is_valid(pattern: str) -> bool:
     return True
 
 
+def has_java_spelling(pattern: str) -> bool:
+    """False for what Java lacks: groups that depend on other groups, characters by name."""
+    by_name = re.search(r"(?<!\\)(?:\\\\)*\\N\{", pattern)
+    return not by_name and "GROUPREF_EXISTS" not in repr(re_parser.parse(pattern))
+
+
 def group_count(pattern: str) -> int:
     return re.compile(pattern).groups
 
@@ -87,8 +93,15 @@ def to_java(pattern: str, flags: str = IGNORE_CASE) -> str:
             i = choice.end()
             continue
         elif pattern.startswith("(?P<", i):
-            out.append("(?<")
-            i += 4
+            # groups are taken by number, and Java allows fewer names
+            out.append("(")
+            i = pattern.index(">", i) + 1
+            continue
+        elif pattern.startswith("(?P=", i):
+            end = pattern.index(")", i)
+            number = re.compile(pattern).groupindex[pattern[i + 4 : end]]
+            out.append(f"(?:\\{number})")
+            i = end + 1
             continue
         elif c == "{":
             quantifier = _QUANTIFIER.match(pattern, i)

@@ -53,6 +53,10 @@ def check_rule(name: str, rule: dict) -> None:
     for pattern in listed:
         if pattern and R.is_valid(pattern) and R.can_match_empty(pattern):
             raise ValueError(f"rule {name}: {pattern!r} can match the empty string")
+    listed += [rule.get("regex"), rule.get("date_regex"), *rule.get("base_patterns", []), *rule.get("target_patterns", [])]
+    for pattern in listed:
+        if pattern and R.is_valid(pattern) and not R.has_java_spelling(pattern):
+            raise ValueError(f"rule {name}: {pattern!r} has no spelling in Java")
 
 
 def load_pack(path: str | Path) -> RulePack:

@@ -47,9 +47,9 @@ def test_match_positions(spark, pattern):
 
 def test_java_spelling_of_python_patterns(spark):
     for pattern in fuzzy_variants(PACK.rules["fuzzy_incident_date"]["base_patterns"]) + [
-        r"a{1[,.]?2}", r"(?P<m>May)\s", r"[[&]x", r"x{,2}y",
+        r"a{1[,.]?2}", r"(?P<m>May)\s", r"[[&]x", r"x{,2}y", r"(?P<my_date>May)\s", r"(?P<q>['\"])x(?P=q)0?",
     ]:
-        texts = AWKWARD + ["a{12}", "a{1,2}", "[x &x", "xxy y"]
+        texts = AWKWARD + ["a{12}", "a{1,2}", "[x &x", "xxy y", "'x\" 'x'0"]
         got = column(spark, lambda t: R.first_match(t, pattern), texts)
         want = [m.group() if (m := re.search(pattern, t, re.IGNORECASE)) else "" for t in texts]
         assert got == want, pattern

@@ -27,6 +27,8 @@ def test_bad_packs_are_refused():
         {"type": "regex", "regex": "("},
         {"type": "multi_date", "date_patterns": [r"\d*"]},
         {"type": "multi_pattern", "patterns": [{"regex": r"\b"}]},
+        {"type": "regex", "regex": r"(a)?(?(1)b|c)"},
+        {"type": "multi_date", "date_patterns": [r"\N{DIGIT ONE}"]},
     ):
         with pytest.raises(ValueError):
             PK.parse_pack(json.dumps({"patterns": {"x": rule}}))
