@@ -73,6 +73,26 @@ def test_jaccard_chains(spark):
     assert {r.component_id for r in jaccard.similar_groups(docs).collect()} == {0}
 
 
+def test_jaccard_edits_of_one_text(spark):
+    """Weak and strong edits of one text: some link with it, some with one another alone, some with nothing."""
+    rng, base, rows = np.random.default_rng(5), [f"t{i}" for i in range(120)], []
+    for n in range(120):
+        w = list(base)
+        for p in rng.choice(120, n % 12, replace=False):
+            w[p] = f"new{rng.integers(40)}"
+        rows.append((n, " ".join(w)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for _, t in rows]
+    comp = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((comp[a], comp[b]))
+                comp = [low if c == high else c for c in comp]
+    assert 2 < len(set(comp)) < 120
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(comp))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 50), (40, 41), (41, 40), (41, 40)], "a long, b long")
     got = {(r.node, r.component) for r in components.components(edges).collect()}
@@ -125,6 +145,18 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_embeddings_in_small_blocks(spark, monkeypatch):
+    """A large group of near copies, spread over several blocks of its cell, has all its links."""
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    monkeypatch.setattr(embeddings, "OTHERS", 16)
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=16) + rng.normal(size=(70, 16)) * 0.15, rng.normal(size=(60, 16))]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(1) - 1
+    d = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<float>")
+    assert {r.vec_id: r.n_links for r in embeddings.near_duplicates(d, cell=32).collect()} == dict(enumerate(links.tolist()))
+
+
 def test_leaks(spark, odd, none):
     items = [(1, "The quick brown fox jumps over the lazy dog and runs away"), (2, None), (3, ""), (4, "one"), (5, " ".join(f"w{i}" for i in range(30)))]
     texts = [(20, "x y z the quick brown fox jumped over the lazy dog and runs away now"), (21, "the quick fox"), (22, None)]
