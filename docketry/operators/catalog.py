@@ -120,15 +120,20 @@ def documents_problem(documents_json: Column) -> Column:
 
 
 def _first_slots(cases: DataFrame) -> DataFrame:
-    """First place of each path inside its case: ``(case_id, doc_path, idx, old)``."""
-    paths = F.col("documents.doc_path")
-    slots = F.filter(
-        F.transform("documents", lambda d, i: F.struct(i.alias("idx"), d.alias("old"))),
-        lambda s: F.array_position(paths, s["old"]["doc_path"]) == s["idx"] + 1,
+    """First place of each path inside its case: ``(case_id, doc_path, idx, old)``.
+
+    Places are reduced by (case, path), the keys that results meet them on, so a case with very many
+    documents takes time in proportion.
+    """
+    old = [F.col(f"d.{c}").alias(f"old_{c}") for c in VALUE_FIELDS]
+    places = cases.select("case_id", F.posexplode("documents").alias("idx", "d")).select(
+        "case_id", F.col("d.doc_path").alias("doc_path"), F.struct("idx", *old).alias("place")
     )
-    old = [F.col(f"slot.old.{c}").alias(f"old_{c}") for c in VALUE_FIELDS]
-    return cases.select("case_id", F.explode(slots).alias("slot")).select(
-        "case_id", F.col("slot.old.doc_path").alias("doc_path"), F.col("slot.idx").alias("idx"), *old
+    return (
+        places.where(F.col("doc_path").isNotNull())
+        .groupBy("case_id", "doc_path")
+        .agg(F.min_by("place", "place.idx").alias("first"))
+        .select("case_id", "doc_path", "first.*")
     )
 
 
