@@ -14,7 +14,6 @@ from ..fixtures import (
     FILINGS_CTE,
     TROUBLED_CTE,
 )
-from ..functions.dates import is_date_field
 from ..functions.regex import group_count
 from ..operators.rules import fuzzy_variants
 from ..sources.packs import shipped_pack
@@ -22,6 +21,13 @@ from ..sources.packs import shipped_pack
 PACK = shipped_pack()
 NULL = "CAST(NULL AS VARCHAR)"
 
+#: The fields of the shipped pack that hold dates of an incident; written out, so that the SQL checks the operator.
+DATE_FIELDS = (
+    "multiple_dates_extractor", "advanced_incident_date", "contextual_incident_search", "fuzzy_incident_date", "facts_date_2",
+    "incident_date_simple", "accident_date_pattern", "date_of_incident", "at_time_pattern", "subject_incident_date", "loss_date",
+    "facts_date_3", "facts_date", "numeric_date",
+)
+
 
 def q(text: str) -> str:
     """SQL literal; control characters as chr()."""
@@ -342,7 +348,7 @@ def clean_contact(x: str, keep_blank=False) -> str:
 def results_ctes(source: str, counties: list[str] | None = None, skip=V.KNOWN_FILING_DATES) -> list[str]:
     """CTE ``results``: the full extraction result per filing."""
     ctes = fields_ctes(source) + contact_ctes(source)
-    listed = [f for f in PACK.fields if is_date_field(f)]
+    listed = [f for f in PACK.fields if f in DATE_FIELDS]
     applies = "true" if counties is None else "county IN (" + ", ".join(q(c) for c in counties) + ")"
     union = " UNION ALL ".join(
         f"SELECT filing_id, {i} AS ord, {q(f)} AS field, {f} AS value FROM fields WHERE {f} IS NOT NULL"

@@ -714,7 +714,7 @@ def d1(spark, sf):
     "d2_date_fields",
     on_filings(
         " UNION ALL ".join(
-            f"SELECT '{f}' AS field, {str(D.is_date_field(f)).lower()} AS is_date, count({f}) AS n FROM fields"
+            f"SELECT '{f}' AS field, {str(f in O.DATE_FIELDS).lower()} AS is_date, count({f}) AS n FROM fields"
             for f in PACK.fields),
         *O.fields_ctes("filings")),
 )
