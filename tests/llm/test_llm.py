@@ -219,6 +219,31 @@ def test_pii(spark, odd, none):
     assert pii.find(none).count() == 0
 
 
+def _card(rng, n):
+    head = "4" + "".join(map(str, rng.integers(0, 10, n - 2)))
+    return head + next(c for c in "0123456789" if _luhn(head + c))
+
+
+def test_pii_loose(spark):
+    rng = np.random.default_rng(3)
+    number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    texts = []
+    for i in range(60):
+        ip = ".".join(map(str, rng.integers(0, 256, 4)))
+        texts.append(f"see na{i}.x{i}@host{i}.example.org and {ip} or {_card(rng, 16)} then +1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)} end {number(11)} of")
+    card, short = _card(rng, 16), _card(rng, 13)
+    wrong = card[:-1] + str((int(card[-1]) + 1) % 10)
+    planted = [
+        ("email", "jane.roe (at) mail (dot) org"), ("email", "jane.roe (at) mail dot org"), ("email", "jane at mail dot org"), ("email", "jane[at]mail[dot]org"),
+        ("phone", "0044 207 555 1234"), ("phone", "1-743-555-3824"), ("phone", "(743) 555-3824"), ("card", re.sub("(....)(?=.)", r"\1.", card)), ("card", short), ("ip", "10,200,30,7"),
+    ]
+    plain = ["20240117", "83650174629", "1,234,567,890", "noon @ home. Then", re.sub("(....)(?=.)", r"\1.", wrong), "12.05.2024"]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(100 + i, f"so it was {x} here") for i, (_, x) in enumerate(planted)] + [(200 + i, f"so it was {x} here") for i, x in enumerate(plain)]
+    got = {r.doc_id: {(pii.KINDS[k], r.text[a:b]) for a, k, b in r.spans} for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [x for i, x in enumerate(planted) if x not in got[100 + i]] == []
+    assert [(x, got[200 + i]) for i, x in enumerate(plain) if got[200 + i]] == []
+
+
 def test_classifiers(spark, sf, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels, remainder(F.col("doc_id"), 3) != 1)
