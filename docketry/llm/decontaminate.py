@@ -13,6 +13,7 @@ e words) that no item of its size has.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .words import P, mix, slices, windows, words
 
-#: Edits allowed, as a part of an item's words; walks, hash tables per walk and places per table.
+#: Edits allowed, as a part of an item's words; walks, least hash tables per walk and most places per table.
 EDITS, WALKS, TABLES, PLACES = 0.2, 5, 16, 8
+#: Part of the pairs at the largest distance to find, for each size of items; pairs of which the walks are measured, and most tables.
+RECALL, PAIRS, MOST_TABLES = 0.98, 64, 1024
 TRIPLE = 3
 #: The hash tables of all items (some eight times their bytes) are sent to the tasks; more bytes of items than this are refused, not cut.
 ITEM_BYTES = 4 << 20
@@ -52,6 +55,41 @@ def sampled(embedded: np.ndarray, walk: int, tables: int, places: int) -> np.nda
     return out
 
 
+def pairs_at(size: int, most: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n random sequences, and for each one that differs by so many edits: changed words for one half, words that are taken out
+    and put in elsewhere for the other."""
+    rng = np.random.default_rng((size, most))
+    x = rng.integers(1, 1 << 60, (n, size)).astype(np.uint64)
+    y = x.copy()
+    for i in range(n):
+        moved = most // 2 if i % 2 else 0
+        row = np.delete(y[i], rng.choice(size, moved, replace=False))
+        row = np.insert(row, rng.integers(0, len(row) + 1, moved), rng.integers(1, 1 << 60, moved).astype(np.uint64))
+        changed = rng.choice(size, most - 2 * moved, replace=False)
+        row[changed] = rng.integers(1, 1 << 60, len(changed)).astype(np.uint64)
+        y[i] = row
+    return x, y
+
+
+@cache
+def plan(size: int, edits: float, walks: int, tables: int, places: int) -> tuple[int, int]:
+    """Tables per walk and places per table for items of a size: the most places, up to those given, with which the walks
+    as measured at the largest distance find RECALL of the pairs; more tables where one place is too many.
+
+    Beyond 64 words the next power of two is measured, as walks agree less in longer sequences.
+    """
+    measured = size if size <= 64 else 1 << (size - 1).bit_length()
+    x, y = pairs_at(measured, int(edits * measured), PAIRS)
+    agree = np.stack([(cgk(x, w) == cgk(y, w)).mean(1) for w in range(walks)])
+    while True:
+        for k in range(places, 0, -1):
+            if 1 - np.prod((1 - agree**k) ** tables, 0).mean() >= RECALL:
+                return tables, k
+        if tables >= MOST_TABLES:
+            return tables, 1
+        tables *= 2
+
+
 def edit_distance(x: np.ndarray, ys: np.ndarray, most: int) -> np.ndarray:
     """Of x to each row of ys (as long as x); only distances up to most are exact."""
     length = len(x)
@@ -71,7 +109,7 @@ class Index:
     """The hash tables of items, by size."""
 
     def __init__(self, items: list[tuple[int, str]], edits: float, walks: int, tables: int, places: int):
-        self.edits, self.walks, self.tables, self.places = edits, walks, tables, places
+        self.edits, self.walks = edits, walks
         self.ids, self.items = [], []
         ids, texts = [i for i, _ in items], pa.array([x for _, x in items], pa.string())
         for first, _, raw, at in slices(texts):
@@ -82,14 +120,15 @@ class Index:
                     self.items.append(hashes[a:b])
         self.sizes = sorted({len(x) for x in self.items})
         self.runs = {k: self._runs(k) for k in (1, TRIPLE)}
+        self.plans = {size: plan(size, edits, walks, tables, places) for size in self.sizes}
         self.of_size, self.keys = {}, {}
         for size in self.sizes:
             own = [i for i, x in enumerate(self.items) if len(x) == size]
             self.of_size[size] = np.array(own)
             rows = np.array([self.items[i] for i in own])
             for walk in range(walks):
-                keys = sampled(cgk(rows, walk), walk, tables, places)
-                for t in range(tables):
+                keys = sampled(cgk(rows, walk), walk, *self.plans[size])
+                for t in range(keys.shape[1]):
                     order = np.argsort(keys[:, t], kind="stable")
                     self.keys[size, walk, t] = keys[order, t], self.of_size[size][order]
 
@@ -163,8 +202,8 @@ class Index:
     def _near(self, rows: np.ndarray, size: int, most: int) -> list[tuple[int, int, int]]:
         pairs = []
         for walk in range(self.walks):
-            keys = sampled(cgk(rows, walk), walk, self.tables, self.places)
-            for t in range(self.tables):
+            keys = sampled(cgk(rows, walk), walk, *self.plans[size])
+            for t in range(keys.shape[1]):
                 known, items = self.keys[size, walk, t]
                 a, b = np.searchsorted(known, keys[:, t], "left"), np.searchsorted(known, keys[:, t], "right")
                 hit = np.flatnonzero(b > a)
@@ -191,8 +230,8 @@ def find_leaks(
     has counts if its edit distance is at most edits * words (rounded down); of several windows that with fewest edits
     and then the first is told, start counts words from 0. Null or empty texts and items match nothing; items with
     equal ids are items of their own that share a name; rows that repeat are searched each. Items are collected
-    (refused beyond ITEM_BYTES of text), documents stay in their partitions. Recall grows with walks and tables;
-    windows without edits are always found, as equal sequences have equal walks.
+    (refused beyond ITEM_BYTES of text), documents stay in their partitions. Tables and places follow
+    the size of the item (see plan), from the least tables and most places given; windows without edits are always found, as equal sequences have equal walks.
     """
     own = items.where("text is not null")
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0

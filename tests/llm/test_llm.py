@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -183,6 +184,22 @@ def test_recall_of_walks():
     assert found >= 190
 
 
+@pytest.mark.parametrize("size", [15, 40, 59, 100, 200, 400])
+def test_recall_at_most_edits(size):
+    rng, most = np.random.default_rng(size), size // 5
+    items = [(i, [f"v{x}" for x in rng.integers(0, 100_000, size)]) for i in range(60)]
+    index = decontaminate.Index([(i, " ".join(x)) for i, x in items], 0.2, decontaminate.WALKS, decontaminate.TABLES, decontaminate.PLACES)
+    texts = []
+    for _, x in items:
+        x = list(x)
+        for k, p in enumerate(rng.choice(size, most, replace=False)):
+            x[p] = f"e{k}"
+        texts.append(" ".join(["before", *x, "after"]))
+    found = {t for t, i, start, n in index.find(pa.array(texts)) if t == i}
+    print(f"recall at {size} words: {len(found) / 60:.3f}, tables and places {index.plans[size]}")
+    assert len(found) >= 0.9 * 60
+
+
 def test_licenses(spark, odd, none):
     known = licenses.templates(spark)
     texts = [(30, "Intro. Released under the MIT License. End"), (31, "x " * 500 + licenses.TEMPLATES[5][1].upper()), (32, "the license is lost"), (33, None)]
