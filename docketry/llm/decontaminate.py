@@ -12,14 +12,17 @@ e words) that no item of its size has.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
+import math
+from collections.abc import Iterable, Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .words import P, mix, slices, windows, words
 
 #: Edits allowed, as a part of an item's words; walks, least hash tables per walk and most places per table.
@@ -27,7 +30,7 @@ EDITS, WALKS, TABLES, PLACES = 0.2, 5, 16, 8
 #: Part of the pairs at the largest distance to find, for each size of items; pairs of which the walks are measured, and most tables.
 RECALL, PAIRS, MOST_TABLES = 0.98, 64, 1024
 TRIPLE = 3
-#: The hash tables of all items (some eight times their bytes) are sent to the tasks; more bytes of items than this are refused, not cut.
+#: The hash tables of all items (some eight times their bytes) are sent to the tasks, in blocks of so many bytes of items at most (or one larger item).
 ITEM_BYTES = 4 << 20
 FOUND = "doc_id long, item_id long, start int, edits int"
 
@@ -221,25 +224,22 @@ class Index:
         return out
 
 
-def find_leaks(
-    docs: DataFrame, items: DataFrame, edits: float = EDITS, walks: int = WALKS, tables: int = TABLES, places: int = PLACES
-) -> DataFrame:
-    """doc_id, item_id, start, edits: for each row of docs and each item found in it, the best window.
+def _blocks(items: Iterable[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """Runs of items with ITEM_BYTES of text at most; a larger item is a block of its own."""
+    block, size = [], 0
+    for item_id, text in items:
+        n = len(text.encode())
+        if block and size + n > ITEM_BYTES:
+            yield block
+            block, size = [], 0
+        block.append((item_id, text))
+        size += n
+    if block:
+        yield block
 
-    Words are runs of characters other than space and 0x09-0x0D, A-Z lower-cased. A window of as many words as the item
-    has counts if its edit distance is at most edits * words (rounded down); of several windows that with fewest edits
-    and then the first is told, start counts words from 0. Null or empty texts and items match nothing; items with
-    equal ids are items of their own that share a name; rows that repeat are searched each. Items are collected
-    (refused beyond ITEM_BYTES of text), documents stay in their partitions. Tables and places follow
-    the size of the item (see plan), from the least tables and most places given; windows without edits are always found, as equal sequences have equal walks.
-    """
-    own = items.where("text is not null")
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > ITEM_BYTES:
-        raise ValueError(f"items have {size} bytes of text; {ITEM_BYTES} can be sent to the tasks")
-    texts = [(r["item_id"], r["text"]) for r in own.select("item_id", "text").collect()]
-    sent = docs.sparkSession.sparkContext.broadcast(Index(texts, edits, walks, tables, places))
 
+def _search(docs: DataFrame, sent: Broadcast[Index]) -> DataFrame:
+    """doc_id, item_id, start, edits of one block of items."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for batch in batches:
@@ -255,3 +255,30 @@ def find_leaks(
             )
 
     return docs.select("doc_id", "text").mapInArrow(search, FOUND)
+
+
+def find_leaks(
+    docs: DataFrame, items: DataFrame, edits: float = EDITS, walks: int = WALKS, tables: int = TABLES, places: int = PLACES
+) -> DataFrame:
+    """doc_id, item_id, start, edits: for each row of docs and each item found in it, the best window.
+
+    Words are runs of characters other than space and 0x09-0x0D, A-Z lower-cased. A window of as many words as the item
+    has counts if its edit distance is at most edits * words (rounded down); of several windows that with fewest edits
+    and then the first is told, start counts words from 0. Null or empty texts and items match nothing; items with
+    equal ids are items of their own that share a name; rows that repeat are searched each. Items are collected in
+    blocks of ITEM_BYTES of text, documents stay in their partitions and are searched once per block. Tables and places
+    follow the size of the item (see plan), from the least tables and most places given; windows without edits are
+    always found, as equal sequences have equal walks.
+    """
+    own = items.where("text is not null")
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    read = own.select("item_id", "text")
+    if size <= ITEM_BYTES:
+        texts = [(r["item_id"], r["text"]) for r in read.collect()]
+        return _search(docs, docs.sparkSession.sparkContext.broadcast(Index(texts, edits, walks, tables, places)))
+    parts = []
+    for texts in _blocks((r["item_id"], r["text"]) for r in read.repartition(math.ceil(size / ITEM_BYTES)).toLocalIterator()):
+        sent = docs.sparkSession.sparkContext.broadcast(Index(texts, edits, walks, tables, places))
+        parts.append(stored(_search(docs, sent)))
+        sent.destroy()
+    return reduce(DataFrame.unionAll, parts)

@@ -184,6 +184,16 @@ def test_recall_of_walks():
     assert found >= 190
 
 
+def test_leaks_in_blocks_of_items(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 1000, 12 + i % 5))) for i in range(30)] + [(30, None), (3, "same id here")]
+    docs = spark.createDataFrame([(i, f"a {x} b") for i, x in items], "doc_id long, text string")
+    known = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    whole = Counter(tuple(r) for r in decontaminate.find_leaks(docs, known).collect())
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 500)
+    assert sum(whole.values()) >= 32 and Counter(tuple(r) for r in decontaminate.find_leaks(docs, known).collect()) == whole
+
+
 @pytest.mark.parametrize("size", [15, 40, 59, 100, 200, 400])
 def test_recall_at_most_edits(size):
     rng, most = np.random.default_rng(size), size // 5
