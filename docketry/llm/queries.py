@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, jaccard, licenses, lm, pii, quality, substrings, toxicity
+from . import bpe, chat, clustering, decontaminate, embeddings, jaccard, licenses, lm, pii, quality, substrings, toxicity, whitening
 from .common import remainder, stored, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 TOXIC_FROM, GOOD_FROM = 0.7, 0.3
+#: Centroids and rounds of op11; the conversation op12 adds, which holds the template's own marks.
+CENTROIDS, ROUNDS = 40, 5
+PLANTED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
 def vocabulary(path: str | None = None) -> bpe.Vocabulary:
@@ -80,11 +85,32 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
+    found = clustering.cluster(table(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS, order)
+    # a row for each centroid
+    sums = {r["cluster"]: r["n"] for r in found.rows.groupBy("cluster").agg(F.sum("distance").alias("n")).collect()}
+    hashes = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found.centroids.tolist()]
+    total = sum(sums.values())
+    told = spark.createDataFrame([(c, sums.get(c, 0), total, h) for c, h in enumerate(hashes)], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.rows.join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string")
+    log = chat.log_of(table(spark, sf_dir, "conversations").select(*planted.columns).union(planted))
+    return chat.digests(stored(chat.rendered(log)))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_toxicity, op3_quality, op4_licenses, op5_substrings, op6_lm_scores, op7_embeddings, op8_jaccard, op9_pii,
-        op10_decontaminate,
+        op10_decontaminate, op11_centroids, op12_chat, op13_whitening,
     )
 }
 
