@@ -30,18 +30,22 @@ def _iso(year: Column, month: Column, day: Column) -> Column:
 
 
 def parse_date(value: Column) -> Column:
-    """Standard form of the first date in ``value``; NULL when there is none."""
+    """Standard form of the first date in ``value``; NULL when there is none.
 
-    def numeric(pattern):
+    The numeric shapes are searched only where their separator occurs.
+    """
+
+    def numeric(pattern, separator):
         g = lambda k: R.first_match(value, pattern, k)
-        return F.when(R.matches(value, pattern), _iso(g(3), g(1), g(2)))
+        there = F.contains(value, F.lit(separator)) & R.matches(value, pattern)
+        return F.when(there, _iso(g(3), g(1), g(2)))
 
     named = lambda k: R.first_match(value, V.MONTH_NAME_DATE, k)
     by_name = F.when(
         R.matches(value, V.MONTH_NAME_DATE),
         _iso(named(3), month_to_number(named(1)).cast("string"), named(2)),
     )
-    return F.coalesce(numeric(V.NUMERIC_DATE), by_name, numeric(V.DASHED_DATE))
+    return F.coalesce(numeric(V.NUMERIC_DATE, "/"), by_name, numeric(V.DASHED_DATE, "-"))
 
 
 def calendar_date(standard: Column) -> Column:
@@ -71,16 +75,26 @@ def standardize_multiple(value: Column) -> Column:
     return F.when(usable, joined).otherwise(F.lit(""))
 
 
-def is_true_incident(field: Column, value: Column) -> Column:
-    """Ordered rules; with a literal ``field`` the field tests fold away."""
+def incident_kind(field: str) -> str:
+    """How a field tells whether its date is an incident's: ``filing``, ``incident``, ``ambiguous`` or ``plain``."""
+    if any(x in field for x in V.FILING_FIELD_INDICATORS):
+        return "filing"
+    if any(x in field for x in V.INCIDENT_FIELD_INDICATORS):
+        return "incident"
+    return "ambiguous" if field in V.AMBIGUOUS_FIELDS else "plain"
+
+
+def is_true_incident(field: Column, value: Column, kind: Column | None = None) -> Column:
+    """Ordered rules on the value. ``kind`` is the ``incident_kind`` of the field, if it is known."""
     low = F.lower(value)
+    filing = contains_any(field, V.FILING_FIELD_INDICATORS) if kind is None else kind == "filing"
+    incident = contains_any(field, V.INCIDENT_FIELD_INDICATORS) if kind is None else kind == "incident"
+    ambiguous = field.isin(*V.AMBIGUOUS_FIELDS) if kind is None else kind == "ambiguous"
     return (
-        F.when(contains_any(field, V.FILING_FIELD_INDICATORS), contains_any(low, V.FILING_FIELD_CONTEXT))
-        .when(contains_any(field, V.INCIDENT_FIELD_INDICATORS), F.lit(True))
+        F.when(filing, contains_any(low, V.FILING_FIELD_CONTEXT))
+        .when(incident, F.lit(True))
         .when(contains_any(low, V.INCIDENT_CONTEXT), F.lit(True))
-        .when(
-            field.isin(*V.AMBIGUOUS_FIELDS) & ~contains_any(low, V.AMBIGUOUS_CONTEXT), F.lit(False)
-        )
+        .when(ambiguous & ~contains_any(low, V.AMBIGUOUS_CONTEXT), F.lit(False))
         .when(is_padded_numeric(value), F.lit(False))
         .otherwise(F.lit(True))
     )

@@ -12,7 +12,7 @@ from re import _parser as re_parser
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null
+from .text import blank_to_null, chain, running_totals
 
 IGNORE_CASE = "(?idU)"  # ignore case, '.' stops at \n only, Unicode classes
 CASE_SENSITIVE = "(?dU)"
@@ -55,6 +55,64 @@ def is_local(pattern: str) -> bool:
     return not re.search(r"\\[bBAZzG]|\^|\$|\(\?[=!>]|\(\?<[=!]|[*+?}]\+", pattern)
 
 
+def held_literals(pattern: str) -> list[tuple[str, ...]]:
+    """What each match holds, whatever its case: at least one of each tuple's lower-case strings."""
+    return _held(re_parser.parse(pattern))
+
+
+def _held(tree) -> list[tuple[str, ...]]:
+    found, run = [], ""
+    for op, av in [*tree, (None, None)]:
+        kind = str(op)
+        if kind == "LITERAL" and av < 128:
+            run += chr(av).lower()
+            continue
+        if run:
+            found.append((run,))
+            run = ""
+        if kind == "SUBPATTERN":
+            found += _held(av[3])
+        elif kind == "ATOMIC_GROUP":
+            found += _held(av)
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and av[0] > 0:
+            found += _held(av[2])
+        elif kind == "BRANCH":
+            each = [_held(branch) for branch in av[1]]
+            if all(each):
+                best = [max(held, key=lambda t: min(map(len, t))) for held in each]
+                found.append(tuple(dict.fromkeys(x for t in best for x in t)))
+    return found
+
+
+def _flat(tree) -> list:
+    """Parsed steps without the groups around them."""
+    out = []
+    for op, av in tree:
+        kind = str(op)
+        if kind == "SUBPATTERN":
+            out += _flat(av[3])
+        elif kind == "BRANCH":
+            out.append((kind, tuple(repr(_flat(b)) for b in av[1])))
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            out.append((kind, av[0], repr(av[1]), repr(_flat(av[2]))))
+        else:
+            out.append((kind, repr(av)))
+    return out
+
+
+def holds_match_of(pattern: str, shape: str) -> bool:
+    """True if each match of ``pattern`` holds a match of ``shape`` (a local one) as a run of its own steps."""
+    steps, wanted = _flat(re_parser.parse(pattern)), _flat(re_parser.parse(shape))
+    return any(steps[i : i + len(wanted)] == wanted for i in range(len(steps) - len(wanted) + 1))
+
+
+def same_matches(pattern: str, shape: str) -> bool:
+    """True if both match the same places and the best group of ``pattern`` is all of each match."""
+    tree, groups = re_parser.parse(pattern), group_count(pattern)
+    around_all = groups == 1 and len(tree) == 1 and str(tree[0][0]) == "SUBPATTERN" and tree[0][1][0] == 1
+    return (groups == 0 or around_all) and _flat(tree) == _flat(re_parser.parse(shape))
+
+
 def _guarded_choice(opening: str, words: str) -> str:
     """A group of words behind a look at its first letters.
 
@@ -70,6 +128,14 @@ def _guarded_choice(opening: str, words: str) -> str:
     return f"{opening}(?=(?-iu:{classes}))(?:{words}))"
 
 
+def holds_any(text: Column, words) -> Column:
+    """True where one of the lower-case words stands in a lower-case text."""
+    listed = "|".join(map(re.escape, words))
+    if len(words) > 3 and all(w.isalpha() and w.isascii() for w in words):
+        listed = _guarded_choice("(?:", listed)
+    return F.rlike(text, F.lit(listed))
+
+
 def to_java(pattern: str, flags: str = IGNORE_CASE) -> str:
     """Spell a Python pattern so that Java reads it the same way."""
     out, i, in_class = [], 0, False
@@ -134,71 +200,72 @@ def all_matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(to_java(pattern)), F.lit(0))
 
 
-def match_spans(text: Column, *patterns: str) -> Column:
+#: Stands around matches in a marked text; texts that hold it are scanned twice.
+MARK = "\uffff"
+
+
+def no_spans() -> Column:
+    return F.expr("cast(array() as array<struct<pattern:int,start:int,value:string,best:string>>)")
+
+
+def match_spans(text: Column, *patterns: str, first: int = 0) -> Column:
     """All matches with their place: ``array<struct<pattern, start, value, best>>``.
 
-    ``pattern`` numbers the patterns, ``start`` counts from 0, ``best`` is the
-    best group.  Exact for patterns which cannot match the empty string.
+    ``pattern`` numbers the patterns (from ``first``), ``start`` counts from 0, ``best`` is the best group. Exact for patterns which
+    cannot match the empty string. Matches and the gaps between them alternate; places are running totals of their
+    lengths, so the time grows with the text and with m log m for m matches.
     """
-    found = [
-        (_searched_spans if is_local(p) else _summed_spans)(text, p, i)
-        for i, p in enumerate(patterns)
-    ]
+    found = [_spans(text, p, i) for i, p in enumerate(patterns, first)]
     return F.concat(*found) if len(found) > 1 else found[0]
 
 
-def _spans(pieces: Column, number: int, start_of, best_of) -> Column:
-    span_type = "struct<pattern:int,start:int,value:string,best:string>"
-    empty = F.expr(f"cast(array() as array<{span_type}>)")
-    seed = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-
-    def step(acc, piece):
-        value, start = piece["value"], start_of(acc["at"], piece)
-        span = F.struct(
-            F.lit(number).alias("pattern"), start.alias("start"), value.alias("value"),
-            best_of(piece).alias("best"),
-        )
-        return F.when(value.isNull(), acc).otherwise(
-            F.struct(
-                (start + F.length(value)).alias("at"),
-                F.array_append(acc["spans"], span).alias("spans"),
+def _alternating(text: Column, pattern: str) -> Column:
+    """Gap, match, gap, ..., gap: by one scan that sets marks, or by two where the text holds the mark itself."""
+    marked = F.split(F.regexp_replace(text, to_java(pattern), MARK + "$0" + MARK), MARK, -1)
+    gaps = F.split(text, to_java(pattern), -1)
+    zipped = F.zip_with(gaps, all_matches(text, pattern), lambda gap, match: F.array(gap, match))
+    return F.when(F.contains(text, F.lit(MARK)), F.array_compact(F.flatten(zipped))).otherwise(marked)
+
+
+def span_steps(text: Column, pattern: str, number: int):
+    """A first value and the steps that make spans of it; side by side, as a chain or as projections."""
+    groups = range(1, group_count(pattern) + 1)
+    by_group = None
+    if groups and not is_local(pattern):
+        # what a group holds may depend on the text around the match
+        by_group = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(to_java(pattern)), F.lit(k)).alias(f"group{k}") for k in groups])
+
+    def measured(pieces):
+        sizes = F.when(F.size(pieces) > 1, F.transform(pieces, F.length))
+        return F.struct(pieces.alias("pieces"), sizes.alias("sizes"), (F.lit(0) if by_group is None else by_group).alias("groups"))
+
+    def located(s):
+        ends = F.when(s["sizes"].isNotNull(), running_totals(s["sizes"]))
+        return F.struct(s["pieces"].alias("pieces"), s["groups"].alias("groups"), ends.alias("ends"))
+
+    def spans(s):
+        def span(i):
+            value = F.get(s["pieces"], 2 * i + 1)
+            if not groups:
+                best = value
+            elif by_group is None:
+                best = best_group(value, pattern)
+            else:
+                best = _longest(value, [F.get(s["groups"], i)[f"group{k}"] for k in groups])
+            return F.struct(
+                F.lit(number).alias("pattern"), F.get(s["ends"], 2 * i).alias("start"), value.alias("value"), best.alias("best")
             )
-        )
-
-    return F.aggregate(pieces, seed, step, lambda acc: acc["spans"])
 
+        last = F.floor(F.size(s["pieces"]) / 2).cast("int") - 1
+        return F.when(s["ends"].isNotNull(), F.transform(F.sequence(F.lit(0), last), span)).otherwise(no_spans())
 
-def _searched_spans(text: Column, pattern: str, number: int) -> Column:
-    """One regex scan; each match is then found again as a plain string.
+    return _alternating(text, pattern), (measured, located, spans)
 
-    Exact without look-around: wherever the matched string stands, the pattern
-    matches too, so its first place after the previous match is the match.
-    """
-    found = F.transform(all_matches(text, pattern), lambda m: F.struct(m.alias("value")))
-    return _spans(
-        found,
-        number,
-        lambda at, piece: F.call_function("locate", piece["value"], text, at + 1) - 1,
-        lambda piece: best_group(piece["value"], pattern),
-    )
 
-
-def _summed_spans(text: Column, pattern: str, number: int) -> Column:
-    """Matches and the gaps between them alternate: a running sum of lengths."""
-    java = F.lit(to_java(pattern))
-    columns = {
-        "gap": F.split(text, to_java(pattern), -1),
-        "value": F.regexp_extract_all(text, java, F.lit(0)),
-    }
-    groups = [f"group{k}" for k in range(1, group_count(pattern) + 1)]
-    for k, name in enumerate(groups, 1):
-        columns[name] = F.regexp_extract_all(text, java, F.lit(k))
-    return _spans(
-        F.arrays_zip(*[c.alias(name) for name, c in columns.items()]),
-        number,
-        lambda at, piece: at + F.length(piece["gap"]),
-        lambda piece: _longest(piece["value"], [piece[g] for g in groups]),
-    )
+def _spans(text: Column, pattern: str, number: int) -> Column:
+    pieces, steps = span_steps(text, pattern, number)
+    # most texts hold no match: one plain search, no arrays
+    return F.when(matches(text, pattern), chain(pieces, *steps)).when(text.isNotNull(), no_spans())
 
 
 def _longest(whole: Column, groups: list[Column]) -> Column:

@@ -83,18 +83,69 @@ def line_offset(text: Column, line_no: Column) -> Column:
     return F.when(line_no == 0, F.lit(0)).otherwise(F.length(before) + 1)
 
 
-def lines_with_offsets(text: Column) -> Column:
-    """``array<struct<line_no, offset, line>>`` over the lines of ``text``."""
-    empty = "cast(array() as array<struct<line_no:int,offset:int,line:string>>)"
-    seed = F.struct(F.lit(0).alias("at"), F.expr(empty).alias("rows"))
+def chain(value: Column, *steps) -> Column:
+    """``steps`` applied one after the other, each to the result of the one before, computed once.
+
+    Types and nullability of a lambda's body are worked out again at each level around it, so a ``let`` inside a
+    ``let`` doubles the time a plan takes; steps of a chain stand side by side.
+    """
+    row = F.array(value)
+    for step in steps:
+        row = F.transform(row, step)
+    return F.get(row, F.lit(0))
+
 
-    def step(acc, line):
-        row = F.struct(
-            F.size(acc["rows"]).alias("line_no"), acc["at"].alias("offset"), line.alias("line")
+def running_totals(numbers: Column) -> Column:
+    """Sum of each element and all before it, for an array (a column or variable) without nulls.
+
+    Each step adds what stands 1, 2, 4, ... places before, so m elements take m log m additions, and no array grows
+    element by element.
+    """
+    doublings = F.ceil(F.log2(F.size(numbers).cast("double"))).cast("int")
+    powers = F.when(F.size(numbers) > 1, F.sequence(F.lit(0), doublings - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def add(sums, power):
+        return F.transform(
+            sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.call_function("shiftleft", F.lit(1), power)), F.lit(0))
         )
-        return F.struct(
-            (acc["at"] + F.length(line) + 1).alias("at"),
-            F.array_append(acc["rows"], row).alias("rows"),
+
+    return F.aggregate(powers, numbers, add)
+
+
+def lines_with_offsets(text: Column) -> Column:
+    """``array<struct<line_no, offset, line>>`` over the lines of ``text``."""
+    def measured(lines):
+        return F.struct(lines.alias("lines"), F.transform(lines, lambda line: F.length(line) + 1).alias("sizes"))
+
+    def located(s):
+        return F.struct(s["lines"].alias("lines"), s["sizes"].alias("sizes"), running_totals(s["sizes"]).alias("ends"))
+
+    def numbered(s):
+        return F.transform(
+            s["lines"],
+            lambda line, i: F.struct(
+                i.alias("line_no"), (F.get(s["ends"], i) - F.get(s["sizes"], i)).alias("offset"), line.alias("line")
+            ),
         )
 
-    return F.aggregate(F.split(text, "\n", -1), seed, step, lambda acc: acc["rows"])
+    return chain(F.split(text, "\n", -1), measured, located, numbered)
+
+
+#: Characters of one page of a text.
+PAGE = 1024
+
+
+def pages(text: Column) -> Column:
+    """The text in pieces of PAGE characters: a window then costs its own length, not the text before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+
+def page_window(pages: Column, start: Column, end: Column) -> Column:
+    """``text[start:end]`` for 0-based ``start`` as ``window`` gives it, from the pages of the text."""
+    begin = F.greatest(start, F.lit(0))
+    first = F.floor(begin / PAGE).cast("int")
+    last = F.floor((F.greatest(end, begin + 1) - 1) / PAGE).cast("int")
+    held = F.when(first == last, F.get(pages, first)).otherwise(
+        F.array_join(F.slice(pages, first + 1, last - first + 1), "")
+    )
+    return F.coalesce(F.substring(held, begin - first * PAGE + 1, end - begin), F.lit(""))

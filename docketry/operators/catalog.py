@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.text import blank_to_null
+from ..functions.text import blank_to_null, let
 
 VALUE_FIELDS = ("incident_date", "incident_end_date", "emails", "plaintiff_contact")
 DOCUMENT_TYPE = (
@@ -119,6 +119,11 @@ def documents_problem(documents_json: Column) -> Column:
     )
 
 
+def touched_cases(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """The cases that results speak of."""
+    return cases.join(results.select("case_id").distinct(), "case_id", "left_semi")
+
+
 def _first_slots(cases: DataFrame) -> DataFrame:
     """First place of each path inside its case: ``(case_id, doc_path, idx, old)``.
 
@@ -137,50 +142,74 @@ def _first_slots(cases: DataFrame) -> DataFrame:
     )
 
 
-def _located(cases: DataFrame, results: DataFrame, order: str) -> DataFrame:
+def locate(cases: DataFrame, results: DataFrame, order: str) -> DataFrame:
     """Latest result per (case, path) and its place in the catalog (NULL if none).
 
-    Rows meet on (case, path), so one case with very many results spreads out,
-    and only results which have a place are gathered per case afterwards.
+    Only documents of touched cases are listed.  They meet results on (case, path), so one case with very many
+    results spreads out, and only results which have a place are gathered per case afterwards.  What is returned
+    feeds both the new catalog and the status rows: store it once.
     """
     latest = (
         results.groupBy("case_id", "doc_path")
         .agg(F.max_by(F.struct(*VALUE_FIELDS, order), order).alias("new"))
     )
-    return latest.join(_first_slots(cases), ["case_id", "doc_path"], "left")
+    return latest.join(_first_slots(touched_cases(cases, latest)), ["case_id", "doc_path"], "left")
+
+
+def _merged(documents: Column, updates: Column, change) -> Column:
+    """Documents with ``change(document, new)`` where an update names their place; updates are ``struct<idx, new>``.
+
+    Places of both kinds are sorted together, so an update stands right before its document: no search per document.
+    """
+    def place(idx, kind, at):
+        return F.struct(idx.alias("idx"), F.lit(kind).alias("kind"), at.alias("at"))
+
+    both = F.concat(
+        F.transform(updates, lambda u, k: place(u["idx"], 0, k)), F.transform(documents, lambda d, i: place(i, 1, i))
+    )
+
+    def rewrite(places):
+        def one(p, k):
+            before = F.get(places, k - 1)
+            hit = (p["kind"] == 1) & (before["kind"] == 0) & (before["idx"] == p["idx"])
+            return F.struct(p["kind"].alias("kind"), p["at"].alias("at"), F.when(hit, before["at"]).alias("update"))
+
+        own = F.filter(F.transform(places, one), lambda p: p["kind"] == 1)
+
+        def found(p):
+            return F.struct(F.get(documents, p["at"]).alias("old"), F.get(updates, p["update"])["new"].alias("new"))
+
+        return F.transform(
+            F.transform(own, found), lambda x: F.when(x["new"].isNotNull(), change(x["old"], x["new"])).otherwise(x["old"])
+        )
+
+    return let(F.array_sort(both), rewrite)
 
 
-def _rewrite(cases: DataFrame, located: DataFrame, change) -> DataFrame:
+def rewrite(cases: DataFrame, located: DataFrame, change) -> DataFrame:
+    """Cases with their located results written in by ``change``, and ``_touched``."""
     updates = (
         located.where(F.col("idx").isNotNull())
         .groupBy("case_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("idx", "new"))).alias("_updates"))
+        .agg(F.collect_list(F.struct("idx", "new")).alias("_updates"))
     )
-
-    def rewrite(d, i):
-        new = F.try_element_at(F.col("_updates"), i)
-        return F.when(new.isNotNull(), change(d, new)).otherwise(d)
-
     joined = cases.join(updates, "case_id", "left")
     touched = F.col("_updates").isNotNull()
+    merged = _merged(F.col("documents"), F.col("_updates"), change)
     return joined.withColumn(
-        "documents", F.when(touched, F.transform("documents", rewrite)).otherwise(F.col("documents"))
+        "documents", F.when(touched, merged).otherwise(F.col("documents"))
     ).withColumn("_touched", touched).drop("_updates")
 
 
-def update_batch(cases: DataFrame, results: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
-    """Set the four values of the first document with the path, also to NULL.
-
-    Returns the new catalog and one status row per (case, path): ``updated``,
-    ``unchanged`` or ``not_found``.
-    """
-    located = _located(cases, results, order)
+def set_values(document: Column, new: Column) -> Column:
+    """The four values, also where they are NULL."""
+    for c in VALUE_FIELDS:
+        document = document.withField(c, new[c])
+    return document
 
-    def change(d, new):
-        return d.withField("incident_date", new["incident_date"]).withField(
-            "incident_end_date", new["incident_end_date"]
-        ).withField("emails", new["emails"]).withField("plaintiff_contact", new["plaintiff_contact"])
 
+def update_status(located: DataFrame) -> DataFrame:
+    """``updated``, ``unchanged`` or ``not_found`` per (case, path)."""
     same = F.lit(True)
     for c in VALUE_FIELDS:
         same = same & F.col(f"old_{c}").eqNullSafe(F.col(f"new.{c}"))
@@ -189,25 +218,38 @@ def update_batch(cases: DataFrame, results: DataFrame, order: str) -> tuple[Data
         .when(same, F.lit("unchanged"))
         .otherwise(F.lit("updated"))
     )
-    new_cases = _rewrite(cases, located, change).drop("_touched")
-    return new_cases, located.select("case_id", "doc_path", status.alias("status"))
+    return located.select("case_id", "doc_path", status.alias("status"))
+
+
+def update_batch(
+    cases: DataFrame, results: DataFrame, order: str, located: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Set the four values of the first document with the path, also to NULL.
+
+    Returns the new catalog and one status row per (case, path): ``updated``,
+    ``unchanged`` or ``not_found``.  A caller that uses both passes a stored ``located``.
+    """
+    located = locate(cases, results, order) if located is None else located
+    return rewrite(cases, located, set_values).drop("_touched"), update_status(located)
 
 
 def update_individual(
-    cases: DataFrame, results: DataFrame, order: str = "extraction_timestamp", updated_at=None
+    cases: DataFrame, results: DataFrame, order: str = "extraction_timestamp", updated_at=None,
+    located: DataFrame | None = None,
 ) -> DataFrame:
     """Overwrite with non-empty values only; stamp the document and the case."""
-    located = _located(cases, has_values(results), order)
+    located = locate(cases, has_values(results), order) if located is None else located
 
-    def change(d, new):
+    def change(old, new):
+        d = old
         for c in VALUE_FIELDS:
-            d = d.withField(c, F.coalesce(blank_to_null(new[c]), d[c]))
+            d = d.withField(c, F.coalesce(blank_to_null(new[c]), old[c]))
         return d.withField("extraction_timestamp", new[order].cast("string")).withField(
             "extracted_by", F.lit(V.EXTRACTED_BY)
         )
 
     stamp = F.current_timestamp() if updated_at is None else updated_at
-    new_cases = _rewrite(cases, located, change)
+    new_cases = rewrite(cases, located, change)
     old = F.col("updated_at") if "updated_at" in cases.columns else F.lit(None).cast("timestamp")
     return new_cases.withColumn(
         "updated_at", F.when(F.col("_touched"), stamp).otherwise(old)

@@ -54,7 +54,9 @@ def contact_at(text: Column, index: Column) -> Column:
     return clean_contact(F.substring(text, index + 1, F.lit(V.CONTACT_WINDOW)))
 
 
-def add_exact_trigger(df: DataFrame, text: str, phrases, ignore_case: bool) -> DataFrame:
+def add_exact_trigger(
+    df: DataFrame, text: str, phrases, ignore_case: bool, bound: bool = True
+) -> DataFrame:
     """Add ``_line`` and ``_index`` of the first line with a phrase; NULL without one.
 
     Within that line the first phrase *of the list* gives the position.  The
@@ -66,7 +68,8 @@ def add_exact_trigger(df: DataFrame, text: str, phrases, ignore_case: bool) -> D
     )
     for columns in steps[:-1]:
         df = df.withColumns(columns)
-    return bind(df, steps[-1]).drop("_hay", "_first", "_before", "_after", "_whole", "_line_no")
+    df = bind(df, steps[-1]) if bound else df.withColumns(steps[-1])
+    return df.drop("_hay", "_first", "_before", "_after", "_whole", "_line_no")
 
 
 def _trigger_steps(body: Column, phrases, ignore_case: bool) -> list[dict[str, Column]]:
@@ -150,13 +153,16 @@ def add_contact(
     phrases=V.BATCH_TRIGGERS,
     ignore_case: bool = True,
     fuzzy: bool = True,
+    bound: bool = True,
 ) -> DataFrame:
     """Add the contact block of ``text`` as column ``out``.
 
+    ``bound`` keeps later filters on it above the search; without it the search is pruned where nothing reads it.
+
     Contact texts are cut before the Python step, so whole documents never
     travel through it.
     """
-    step = add_exact_trigger(df, text, phrases, ignore_case)
+    step = add_exact_trigger(df, text, phrases, ignore_case, bound)
     exact, near, pieces = compiled(
         ("contact", text, tuple(phrases)), lambda: _contact_steps(F.col(text), phrases)
     )

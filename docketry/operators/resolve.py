@@ -9,6 +9,7 @@ from .. import fixed_values as V
 from ..functions.compiled import compiled
 from ..functions.text import let
 from ..functions.dates import (
+    incident_kind,
     is_date_field,
     is_padded_numeric,
     is_true_incident,
@@ -18,6 +19,12 @@ from ..functions.dates import (
 )
 
 
+DATE_COLUMNS = (
+    "incident_date", "incident_source_field", "incident_end_date", "incident_end_source_field",
+    "all_incident_dates",
+)
+
+
 def candidate_array(fields: list[str], column=F.col) -> Column:
     """Date fields with a value, in extraction order.
 
@@ -36,7 +43,7 @@ def candidate_array(fields: list[str], column=F.col) -> Column:
                     column(field).isNotNull(),
                     F.struct(
                         F.lit(field).alias("field"), column(field).alias("value"),
-                        F.lit(order).alias("order"),
+                        F.lit(order).alias("order"), F.lit(incident_kind(field)).alias("kind"),
                     ),
                 )
                 for order, field in enumerate(listed)
@@ -48,7 +55,7 @@ def candidate_array(fields: list[str], column=F.col) -> Column:
         lambda c: F.struct(
             c["field"].alias("field"),
             c["value"].alias("value"),
-            is_true_incident(c["field"], c["value"]).alias("is_incident"),
+            is_true_incident(c["field"], c["value"], c["kind"]).alias("is_incident"),
             parse_date(c["value"]).alias("standard_date"),
             c["order"].alias("order"),
         ),
@@ -113,31 +120,27 @@ def true_dates(all_dates: Column, multi_value: Column, skip=V.KNOWN_FILING_DATES
     )
     extra = F.filter(extra, lambda d: d["standard_date"].isNotNull())
 
-    def new_or_own(own):
-        # own dates all stay; an extra one only when its date is new so far
-        merged = F.concat(own, F.coalesce(extra, F.slice(own, 1, 0)))
-        return let(
-            F.struct(
-                merged.alias("dates"),
-                F.transform(merged, lambda d: d["standard_date"]).alias("standards"),
-                F.size(own).alias("own"),
-            ),
-            lambda all_: F.filter(
-                all_["dates"],
-                lambda d, i: (i < all_["own"])
-                | (F.array_position(all_["standards"], d["standard_date"]) == i + 1),
+    def number(dates, kind):
+        return F.transform(
+            dates,
+            lambda d, i: F.struct(
+                d["standard_date"].alias("standard_date"), F.lit(kind).alias("extra"), i.alias("seq"),
+                d["original_date"].alias("original_date"), d["source_field"].alias("source_field"),
             ),
         )
 
-    kept = let(own, new_or_own)
-    ranked = F.transform(
-        kept,
-        lambda d, i: F.struct(
-            d["standard_date"].alias("standard_date"), i.alias("seq"),
-            d["original_date"].alias("original_date"), d["source_field"].alias("source_field"),
-        ),
-    )
-    return F.array_sort(ranked)
+    def new_or_own(sorted_dates):
+        # own dates all stay; an extra one is kept if it is the first of its date and no own one has it
+        return F.filter(
+            sorted_dates,
+            lambda d, i: (d["extra"] == 0)
+            | (i == 0)
+            | (F.get(sorted_dates, i - 1)["standard_date"] != d["standard_date"]),
+        )
+
+    none = F.expr("cast(array() as array<struct<standard_date:string,extra:int,seq:int,original_date:string,source_field:string>>)")
+    every = F.concat(number(own, 0), F.coalesce(number(extra, 1), none))
+    return let(F.array_sort(every), new_or_own)
 
 
 def resolve_dates(
@@ -147,15 +150,21 @@ def resolve_dates(
     column=F.col,
     skip=V.KNOWN_FILING_DATES,
     null_safe: bool = False,
+    candidates: Column | None = None,
 ) -> DataFrame:
     """Add the date result columns to a frame of field values.
 
+    ``candidates`` replaces the candidate array of ``fields``, where the order of the fields differs by row.
+
     A true date cannot be compared with a primary value that holds no date:
     such a document becomes an error row, or takes the earliest true date when
     ``null_safe``.  Steps are separate projections, so no array is built twice.
     """
+    if candidates is None:
+        candidates = compiled(("candidates", tuple(fields), column), lambda: candidate_array(fields, column))
+    df = df.withColumn("_candidates", candidates)
     for columns in compiled(
-        ("resolve", tuple(fields), column, tuple(skip), null_safe),
+        ("resolve", V.MULTI_DATE_FIELD in fields, column, tuple(skip), null_safe),
         lambda: _resolution_steps(fields, column, skip, null_safe),
     ):
         df = df.withColumns(columns)
@@ -183,7 +192,6 @@ def _resolution_steps(fields, column, skip, null_safe) -> list[dict[str, Column]
         return {kind: F.when(earlier, F.col(of_true)).otherwise(F.col(of_primary))}
 
     return [
-        {"_candidates": candidate_array(fields, column)},
         {
             "all_incident_dates": all_incident_dates(F.col("_candidates")),
             "_primary": primary_candidate(F.col("_candidates")),

@@ -3,13 +3,19 @@
 A rule type is a function ``(rule, doc) -> Column``.  ``doc`` names the columns
 of the current document.  ``register_rule_type`` adds types of your own.
 All types work on one row at a time, so a whole pack is one narrow projection.
+
+Rules share what they ask of a text.  Words that a pattern cannot do without are looked up once
+per document, dates of the usual shapes are searched and located once; a rule
+scans a text by its own pattern only where all of that is there.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,17 +23,124 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import regex as R
 from ..functions.dates import is_padded_numeric, parse_date
-from ..functions.text import blank_to_null, let, position, strip, window
+from ..functions.text import blank_to_null, chain, let, page_window, pages, position, strip, window
 from .layout import nearest_word
 
 
+@dataclass(frozen=True)
+class Shared:
+    """What all rules of a plan ask of a text: word sets, and shapes of dates.
+
+    A set of words is true where one of them occurs; a shape is a local pattern, its spans are located once.
+    """
+
+    words: tuple[tuple[str, ...], ...] = ()
+    shapes: tuple[str, ...] = ()
+
+    def columns(self) -> list[dict[str, Column]]:
+        """Steps over ``_text`` and ``_lower``; later ones use earlier ones."""
+        # letters that equal an ASCII one when case is ignored, where there are any
+        folded = F.translate(F.col("_lower"), "\u0131\u017f\u0307", "is")
+        plain = F.when(F.octet_length("_lower") == F.length("_lower"), F.col("_lower")).otherwise(folded)
+        steps = [{"_plain": plain}, {f"_word{i}": _any_of(F.col("_plain"), words) for i, words in enumerate(self.words)}, {}, {}, {}, {}, {}]
+        for i, shape in enumerate(self.shapes):
+            asked = [self.word(words) for words in _asked(shape) if words in self.words]
+            pieces, (measured, located, spans) = R.span_steps(F.col("_text"), shape, i)
+            steps[2][f"_shape{i}"] = _all([*asked, R.matches(F.col("_text"), shape)])
+            steps[3][f"_pieces{i}"] = F.when(F.col(f"_shape{i}"), pieces)
+            steps[4][f"_sizes{i}"] = F.when(F.col(f"_shape{i}"), measured(F.col(f"_pieces{i}")))
+            steps[5][f"_ends{i}"] = F.when(F.col(f"_shape{i}"), located(F.col(f"_sizes{i}")))
+            steps[6][f"_spans{i}"] = F.when(F.col(f"_shape{i}"), spans(F.col(f"_ends{i}")))
+        return [step for step in steps if step]
+
+    def word(self, words: tuple[str, ...]) -> Column:
+        return F.col(f"_word{self.words.index(words)}")
+
+    def names(self) -> list[str]:
+        return [name for step in self.columns() for name in step]
+
+
 @dataclass(frozen=True)
 class Doc:
-    """Columns of one document; ``lower`` is ``lower(text)``, computed once."""
+    """Columns of one document; ``lower`` is ``lower(text)``, computed once, and so is what rules share."""
 
     text: Column
     lower: Column
     elements: Column | None = None
+    shared: Shared = Shared()
+
+    def may_match(self, pattern: str) -> Column | None:
+        """A condition that each text with a match of the pattern meets; None if nothing is known."""
+        known = [self.shared.word(words) for words in _asked(pattern) if words in self.shared.words]
+        known += [F.col(f"_shape{i}") for i, shape in enumerate(self.shared.shapes) if R.holds_match_of(pattern, shape)]
+        return _all(known) if known else None
+
+    def spans(self, *patterns: str) -> Column:
+        """``R.match_spans``; shapes that all rules share are read, not searched."""
+        found = []
+        for number, pattern in enumerate(patterns):
+            own = [i for i, shape in enumerate(self.shared.shapes) if R.same_matches(pattern, shape)]
+            if own:
+                found.append(F.coalesce(_numbered(F.col(f"_spans{own[0]}"), number), R.no_spans()))
+            else:
+                spans, may = R.match_spans(self.text, pattern, first=number), self.may_match(pattern)
+                found.append(spans if may is None else F.when(may, spans).otherwise(R.no_spans()))
+        return F.concat(*found) if len(found) > 1 else found[0]
+
+
+def _numbered(spans: Column, number: int) -> Column:
+    """Spans of a shape as those of pattern ``number``; its one group at most is all of the match."""
+    return F.transform(
+        spans,
+        lambda s: F.struct(
+            F.lit(number).alias("pattern"), s["start"].alias("start"), s["value"].alias("value"), s["value"].alias("best")
+        ),
+    )
+
+
+def _any_of(text: Column, words: tuple[str, ...]) -> Column:
+    if len(words) > 4:
+        return R.holds_any(text, words)
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+
+
+def _all(conditions: list[Column]) -> Column:
+    return reduce(and_, conditions)
+
+
+#: Word sets asked for at most per pattern; shorter words say too little.
+ASKED, SHORTEST = 3, 2
+
+
+def _asked(pattern: str) -> list[tuple[str, ...]]:
+    """The word sets that tell most: those with the longest shortest word; a separator of digits counts too."""
+    sets = [t for t in R.held_literals(pattern) if min(map(len, t)) >= SHORTEST or t in (("/",), ("-",))]
+    return sorted(dict.fromkeys(sets), key=lambda t: (-min(map(len, t)), t))[:ASKED]
+
+
+def rule_patterns(rule: dict) -> list[str]:
+    """The patterns of a rule that a text has to match somewhere."""
+    kind = rule.get("type", "")
+    listed = {
+        "regex": [rule.get("regex", "")],
+        "facts_pattern": [rule.get("date_regex", "")],
+        "fuzzy_date": fuzzy_variants(rule.get("base_patterns", [])) if kind == "fuzzy_date" else [],
+        "contextual_search": rule.get("target_patterns", []),
+        "multi_pattern": [p.get("regex", "") for p in rule.get("patterns", [])] if kind == "multi_pattern" else [],
+        "multi_date": rule.get("date_patterns", []),
+    }.get(kind, [])
+    return [p for p in listed if p and R.is_valid(p)]
+
+
+def shared_of(rules: Iterable[dict]) -> Shared:
+    """What the rules share: their patterns' words, and the shapes that multi-date rules list."""
+    rules = list(rules)
+    shapes = dict.fromkeys(
+        p for r in rules if r.get("type") == "multi_date" for p in rule_patterns(r)
+        if R.is_local(p) and R.group_count(p) == 0 and not R.can_match_empty(p)
+    )
+    words = dict.fromkeys(t for r in rules for p in rule_patterns(r) for t in _asked(p))
+    return Shared(tuple(words), tuple(shapes))
 
 
 RuleType = Callable[[dict, Doc], Column]
@@ -54,14 +167,17 @@ def _none() -> Column:
     return F.lit(None).cast("string")
 
 
-def _gate(text: Column, patterns, value: Column) -> Column:
-    """Evaluate ``value`` only where one of ``patterns`` occurs in the text.
+def _gate(doc: Doc, patterns, value: Column) -> Column:
+    """Evaluate ``value`` only where one of ``patterns`` can match.
 
-    Dropped when a pattern looks at its surroundings: a match inside a window
-    would then not imply one in the text.
+    Words and shapes that a match holds are in the text wherever the match was found, also in a window, so this holds
+    for patterns that look at their surroundings too.
     """
+    may = [doc.may_match(p) for p in patterns]
+    if may and all(m is not None for m in may):
+        return F.when(reduce(or_, may), value)
     if all(R.is_local(p) for p in patterns):
-        return F.when(R.matches_any(text, patterns), value)
+        return F.when(R.matches_any(doc.text, patterns), value)
     return value
 
 
@@ -70,13 +186,12 @@ def regex_rule(rule: dict, doc: Doc) -> Column:
     pattern = rule.get("regex", "")
     if not pattern:
         return _none()
-    whole = R.first_match(doc.text, pattern)
-    if R.is_local(pattern):
-        return whole
-    # only a look-ahead can make a group longer than the match
-    groups = [R.first_match(doc.text, pattern, k) for k in range(1, R.group_count(pattern) + 1)]
-    longer = [F.when(F.length(g) > F.length(whole), g) for g in groups]
-    return F.coalesce(*longer, whole)
+    value, may = R.first_match(doc.text, pattern), doc.may_match(pattern)
+    if not R.is_local(pattern):
+        # only a look-ahead can make a group longer than the match
+        groups = [R.first_match(doc.text, pattern, k) for k in range(1, R.group_count(pattern) + 1)]
+        value = F.coalesce(*[F.when(F.length(g) > F.length(value), g) for g in groups], value)
+    return value if may is None else F.when(may, value)
 
 
 @register_rule_type("nearest_word")
@@ -122,7 +237,7 @@ def facts_rule(rule: dict, doc: Doc) -> Column:
         hit = (at >= 0) & R.matches(near, pattern)
         found = R.first_match(near, pattern, group)
         value = F.when(hit, found) if value is None else value.when(hit, found)
-    return _gate(doc.text, [pattern], value)
+    return _gate(doc, [pattern], value)
 
 
 @register_rule_type("case_title")
@@ -168,7 +283,7 @@ def fuzzy_rule(rule: dict, doc: Doc) -> Column:
         found = F.coalesce(*[R.best_group(near, v) for v in variants])
         tries.append(F.when((at >= 0) & R.matches_any(near, variants), found))
     tries += [R.best_group(doc.text, v) for v in variants]
-    return _gate(doc.text, variants, F.coalesce(*tries))
+    return _gate(doc, variants, F.coalesce(*tries))
 
 
 @register_rule_type("contextual_search")
@@ -192,19 +307,29 @@ def contextual_rule(rule: dict, doc: Doc) -> Column:
 
     # earliest keyword, then earliest position; a later window wins only with
     # a strictly higher score
-    spans = R.match_spans(doc.text, *[re.escape(p) for p in primaries])
-    scored = F.transform(
-        spans, lambda s: score_window(window(doc.text, s["start"] - radius, s["start"] + radius))
-    )
     nothing = F.struct(F.lit(0.0).alias("score"), _none().alias("value"))
-    best = F.aggregate(
-        scored,
-        nothing,
-        lambda acc, c: F.when(
-            c["value"].isNotNull() & (c["score"] > acc["score"]), c
-        ).otherwise(acc),
-    )
-    return _gate(doc.text, targets, best["value"])
+
+    def best(spans_and_pages):
+        scored = F.transform(
+            spans_and_pages["spans"],
+            lambda s: score_window(page_window(spans_and_pages["pages"], s["start"] - radius, s["start"] + radius)),
+        )
+        return F.aggregate(
+            scored,
+            nothing,
+            lambda acc, c: F.when(c["value"].isNotNull() & (c["score"] > acc["score"]), c).otherwise(acc),
+        )["value"]
+
+    spans = doc.spans(*[re.escape(p) for p in primaries])
+    return _gate(doc, targets, _on_spans(spans, doc.text, best))
+
+
+def _on_spans(spans: Column, text: Column, *steps) -> Column:
+    """``steps`` over the spans and the pages of the text they stand in; NULL without spans."""
+    def with_pages(found):
+        return F.when(F.size(found) > 0, F.struct(found.alias("spans"), pages(text).alias("pages")))
+
+    return chain(spans, with_pages, *steps)
 
 
 @register_rule_type("multi_pattern")
@@ -223,10 +348,10 @@ def scored_rule(rule: dict, doc: Doc) -> Column:
     bonuses = F.array(*[F.lit(b) for b in bonus])
     ranks = F.array(*[F.lit(weight * (len(listed) - i)) for i, _, weight in usable])
 
-    def candidate(span):
+    def candidate(span, pages):
         near = F.lower(
-            window(
-                doc.text,
+            page_window(
+                pages,
                 span["start"] - V.SCORED_CONTEXT,
                 span["start"] + F.length(span["value"]) + V.SCORED_CONTEXT,
             )
@@ -246,8 +371,10 @@ def scored_rule(rule: dict, doc: Doc) -> Column:
             span["best"].alias("value"),
         )
 
-    spans = R.match_spans(doc.text, *[p for _, p, _ in usable])
-    return F.array_max(F.transform(spans, candidate))["value"]
+    def best(s):
+        return F.array_max(F.transform(s["spans"], lambda span: candidate(span, s["pages"])))["value"]
+
+    return _on_spans(doc.spans(*[p for _, p, _ in usable]), doc.text, best)
 
 
 @register_rule_type("multi_date")
@@ -257,50 +384,55 @@ def multi_date_rule(rule: dict, doc: Doc) -> Column:
     radius = rule.get("context_radius", 50)
     if not patterns:
         return _none()
-    kept = F.filter(R.match_spans(doc.text, *patterns), lambda s: ~is_padded_numeric(s["value"]))
-    dated = F.transform(
-        kept,
-        lambda s: F.struct(
-            s["start"].alias("start"), s["value"].alias("value"),
-            parse_date(s["value"]).alias("standard"),
-        ),
-    )
 
-    def first_of_each(dated):
-        return let(
-            F.transform(dated, lambda d: d["standard"]),
-            lambda standards: F.filter(
-                dated,
-                lambda d, i: d["standard"].isNull()
-                | (F.array_position(standards, d["standard"]) == i + 1),
+    def dated(spans):
+        kept = F.filter(spans, lambda s: ~is_padded_numeric(s["value"]))
+        return F.transform(
+            kept,
+            lambda s, i: F.struct(
+                parse_date(s["value"]).alias("standard"), i.alias("by_pattern"), s["start"].alias("start"), s["value"].alias("value")
             ),
         )
 
-    def rank(d, i):
-        near = F.lower(
-            window(
-                doc.text, d["start"] - radius, d["start"] + F.length(d["value"]) + radius
-            )
-        )
-        found = F.filter(
-            F.array(*[F.when(F.contains(near, F.lit(x.lower())), F.lit(x)) for x in indicators])
-            if indicators
-            else F.expr("cast(array() as array<string>)"),
-            lambda x: x.isNotNull(),
+    def first_of_each(dated):
+        # sorted by date and place; what has no date stays
+        return F.filter(
+            dated,
+            lambda d, i: d["standard"].isNull()
+            | (i == 0)
+            | ~F.get(dated, i - 1)["standard"].eqNullSafe(d["standard"]),
         )
+
+    words = F.expr("cast(array() as array<string>)")
+
+    def near(d, pages):
+        low = F.lower(page_window(pages, d["start"] - radius, d["start"] + F.length(d["value"]) + radius))
+        return F.struct(d.alias("date"), low.alias("low"))
+
+    def with_words(x):
+        found = F.array_compact(F.array(*[F.when(F.contains(x["low"], F.lit(w.lower())), F.lit(w)) for w in indicators])) if indicators else words
+        return F.struct(x["date"].alias("date"), found.alias("found"))
+
+    def rank(x):
+        d, found = x["date"], x["found"]
         shown = F.array_join(F.slice(found, 1, V.MULTI_DATE_SHOWN_INDICATORS), ", ")
-        label = F.when(
-            F.size(found) > 0, F.concat(d["value"], F.lit(" ("), shown, F.lit(")"))
-        ).otherwise(d["value"])
+        label = F.when(F.size(found) > 0, F.concat(d["value"], F.lit(" ("), shown, F.lit(")"))).otherwise(d["value"])
         return F.struct(
-            (-F.size(found)).alias("by_score"), d["start"].alias("by_start"),
-            i.alias("by_pattern"), label.alias("label"),
+            (-F.size(found)).alias("by_score"), d["start"].alias("by_start"), d["by_pattern"].alias("by_pattern"),
+            label.alias("label"),
         )
 
-    unique = let(dated, first_of_each)
-    top = F.slice(F.array_sort(F.transform(unique, rank)), 1, V.MULTI_DATE_TOP)
-    joined = F.array_join(F.transform(top, lambda r: r["label"]), V.MULTI_DATE_SEPARATOR)
-    return joined
+    def sorted_dates(s):
+        return F.struct(F.array_sort(dated(s["spans"])).alias("dated"), s["pages"].alias("pages"))
+
+    def in_context(s):
+        return F.transform(first_of_each(s["dated"]), lambda d: near(d, s["pages"]))
+
+    def listed(found):
+        ranked = F.array_sort(F.transform(F.transform(found, with_words), rank))
+        return F.array_join(F.transform(F.slice(ranked, 1, V.MULTI_DATE_TOP), lambda r: r["label"]), V.MULTI_DATE_SEPARATOR)
+
+    return _on_spans(doc.spans(*patterns), doc.text, sorted_dates, in_context, listed)
 
 
 def emails(text: Column) -> Column:

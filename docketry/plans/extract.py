@@ -1,25 +1,26 @@
 """The extraction plan: filings and rule packs in, one result row per filing out.
 
-One narrow stage: no shuffle, no join.  Input columns: ``text``, ``county``,
+One narrow stage over one scan: no shuffle, no join, however many packs.  Input columns: ``text``, ``county``,
 optionally ``elements`` (array of layout elements); all other columns pass
-through.
+through.  Only what the asked outputs need is put into the plan.
 """
 
 from __future__ import annotations
 
 import json
-from functools import reduce
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.compiled import compiled
+from ..functions.dates import is_date_field
 from ..functions.text import bind
 from ..operators.contact import add_contact
 from ..operators.layout import ELEMENT_TYPE
-from ..operators.resolve import resolve_dates
-from ..operators.rules import RULE_TYPES, Doc, emails, rule_column
+from ..operators.resolve import DATE_COLUMNS, candidate_array, resolve_dates
+from ..operators.rules import RULE_TYPES, Doc, Shared, emails, rule_column, shared_of
 from ..sources.packs import RulePack, merge_equal
 
 MISSING_TEXT = "document text is missing"
@@ -33,34 +34,67 @@ def field_column(field: str) -> Column:
     return F.col(f"field_{field}")
 
 
+def _typed_array(kind: str) -> Column:
+    return F.lit(None).cast(f"array<{kind}>")
+
+
 def with_fields(
-    filings: DataFrame,
-    pack: RulePack,
-    *,
-    applies: Column | None = None,
-    only: list[str] | None = None,
+    filings: DataFrame, packs: RulePack | Iterable[RulePack], *, only: Iterable[str] | None = None
 ) -> DataFrame:
-    """Add ``field_<name>`` for every rule of the pack (or for ``only`` some).
+    """Add ``field_<name>`` for every field of the packs (or for ``only`` some).
 
-    ``applies`` restricts the pack to some rows; the others see a NULL text,
-    on which every rule is free and NULL.
+    With one pack all rows are read by it; with several each row by the pack of its county.  A rule that several
+    packs share is one expression, evaluated where one of their counties stands.
     """
-    text, elements = F.col("text"), F.lit(None).cast(f"array<{ELEMENT_TYPE}>")
+    packs = [packs] if isinstance(packs, RulePack) else list(packs)
+    by_county = len(packs) > 1
+    return _with_fields(filings, packs, F.lit(True), by_county, only, bind)
+
+
+def _with_fields(
+    filings: DataFrame, packs: list[RulePack], applies: Column, by_county: bool, only, add=DataFrame.withColumns
+) -> DataFrame:
+    """``add`` is ``bind`` where filters on fields may follow: pushed below plain columns they would carry a copy of
+    every step that made the field."""
+    wanted = None if only is None else set(only)
+    # field -> rule as text -> counties whose packs have it
+    users: dict[str, dict[str, list[str]]] = {}
+    rules: dict[str, dict] = {}
+    for pack in packs:
+        for field in dict.fromkeys(pack.fields):
+            if wanted is None or field in wanted:
+                key = json.dumps(pack.rules[field], sort_keys=True)
+                rules[key] = pack.rules[field]
+                users.setdefault(field, {}).setdefault(key, []).extend(pack.counties)
+    if not users:
+        return filings
+    every = {c for pack in packs for c in pack.counties}
+    shared = shared_of(rules.values())
+    text, elements = F.when(applies, F.col("text")), _typed_array(ELEMENT_TYPE)
     if "elements" in filings.columns:
-        elements = F.col("elements")
-    if applies is not None:
-        text, elements = F.when(applies, text), F.when(applies, elements)
+        elements = F.when(applies, F.col("elements"))
     step = filings.withColumns({"_text": text, "_elements": elements})
     step = step.withColumn("_lower", F.lower("_text"))
-    names = [f for f in dict.fromkeys(pack.fields) if only is None or f in only]
-    step = bind(step, {f"field_{n}": _compiled_rule(pack.rules[n]) for n in names})
-    return step.drop("_text", "_lower", "_elements")
-
-
-def _compiled_rule(rule: dict) -> Column:
-    """Column of a rule over ``_text``, ``_lower`` and ``_elements``."""
-    key = ("rule", RULE_TYPES.get(rule.get("type", "")), json.dumps(rule, sort_keys=True))
-    doc = Doc(F.col("_text"), F.col("_lower"), F.col("_elements"))
+    for columns in compiled(("shared", shared), shared.columns):
+        step = step.withColumns(columns)
+    fields = {}
+    for field, by_rule in users.items():
+        value = None
+        for key, counties in by_rule.items():
+            column = _compiled_rule(rules[key], shared)
+            if by_county and set(counties) != every:
+                own = F.col("county").isin(sorted(set(counties)))
+                value = F.when(own, column) if value is None else value.when(own, column)
+            else:
+                value = column
+        fields[f"field_{field}"] = value
+    return add(step, fields).drop("_text", "_lower", "_elements", *shared.names())
+
+
+def _compiled_rule(rule: dict, shared: Shared) -> Column:
+    """Column of a rule over ``_text``, ``_lower``, ``_elements`` and what rules share."""
+    key = ("rule", RULE_TYPES.get(rule.get("type", "")), json.dumps(rule, sort_keys=True), shared)
+    doc = Doc(F.col("_text"), F.col("_lower"), F.col("_elements"), shared)
     return compiled(key, lambda: rule_column(rule, doc))
 
 
@@ -75,60 +109,101 @@ def extracted_map(fields: list[str]) -> Column:
     return F.map_filter(full, lambda _, v: v.isNotNull())
 
 
-def _extract_branch(filings: DataFrame, pack: RulePack | None, **options) -> DataFrame:
-    found = compiled("emails", lambda: emails(F.col("text")))
-    step = filings.withColumn("emails", found)
-    step = add_contact(step, "text", "plaintiff_contact", fuzzy=options.pop("fuzzy", True))
-    fields: list[str] = []
-    if pack is not None:
-        fields = pack.fields
-        applies = options.pop("applies", None)
-        step = with_fields(step, pack, applies=applies)
-    options.pop("applies", None)
-    step = resolve_dates(step, fields, column=field_column, **options)
-    step = step.withColumns(
-        {
-            "extracted_data": extracted_map(fields),
-            "error": F.when(F.col("text").isNull(), F.lit(MISSING_TEXT)).otherwise(
-                F.col("date_error")
-            ),
-        }
-    )
-    kept = [c for c in filings.columns if c not in ("text", "elements")]
-    results = {c: F.col(c) if c == "error" else F.when(F.col("error").isNull(), F.col(c))
-               for c in RESULT_COLUMNS}
-    renamed = step.select(
-        *kept, F.struct(*[c.alias(name) for name, c in results.items()]).alias("_result")
-    )
-    return renamed.select(*kept, F.inline(F.array("_result")))
+def _by_fields(packs: list[RulePack], make: Callable[[list[str]], Column]) -> Column:
+    """``make`` of the fields of each row's pack, in that pack's order; once for packs that agree."""
+    orders: dict[tuple[str, ...], list[str]] = {}
+    for pack in packs:
+        orders.setdefault(tuple(pack.fields), []).extend(pack.counties)
+    if not orders:
+        return make([])
+    if len(orders) == 1:
+        # fields are NULL where no pack applies
+        return make(list(*orders))
+    value = None
+    for fields, counties in orders.items():
+        own = F.col("county").isin(counties)
+        value = F.when(own, make(list(fields))) if value is None else value.when(own, make(list(fields)))
+    return value.otherwise(make([]))
+
+
+def _first_of_each_county(packs: Iterable[RulePack]) -> list[RulePack]:
+    """A county that several packs name belongs to the first of them."""
+    seen: set[str] = set()
+    out = []
+    for pack in packs:
+        own = tuple(dict.fromkeys(c for c in pack.counties if c not in seen))
+        seen.update(own)
+        if own:
+            out.append(pack.for_counties(own))
+    return out
 
 
 def extract(
     filings: DataFrame,
-    packs: list[RulePack],
+    packs: Iterable[RulePack],
     *,
+    outputs: Iterable[str] = RESULT_COLUMNS,
     null_safe: bool = False,
     fuzzy: bool = True,
     skip: tuple[str, ...] = V.KNOWN_FILING_DATES,
+    county: str | None = None,
+    extracted_at: Column | None = None,
 ) -> DataFrame:
     """Extract with the pack of each filing's county; other counties get no fields.
 
-    A failed document is an error row and the run goes on.  Packs with equal
-    rules share one pass over the table; each further rule set adds one, which
-    reads only its own partitions when the table is partitioned by county.
+    A failed document is an error row and the run goes on.  ``outputs`` names the result columns to add: rules,
+    contact search and date resolution that none of them needs are not planned.  All outputs of a failed document
+    are NULL, so each of them needs the date rules; no output needs none.  Of the asked columns, those that a later
+    step does not select are pruned as well, but for the resolved dates: they stand behind a generator, which
+    keeps filters on results from being evaluated below it a second time.
+
+    ``county`` is the job's own county: it names all results, and its pack reads all rows.  Without it a row keeps
+    its county, and rows without one are ``unknown``.  ``extracted_at`` adds ``extraction_timestamp``.
     """
-    merged = merge_equal(packs)
-    options = {"null_safe": null_safe, "fuzzy": fuzzy, "skip": skip}
-    if not merged:
-        return _extract_branch(filings, None, **options)
-    county = F.col("county")
-    branches = []
-    later = [c for pack in merged[1:] for c in pack.counties]
-    for i, pack in enumerate(merged):
-        applies = F.coalesce(county.isin(list(pack.counties)), F.lit(False))
-        if i == 0:  # also carries the counties without a pack
-            rows = filings.where(~F.coalesce(county.isin(later), F.lit(False))) if later else filings
-        else:
-            rows, applies = filings.where(applies), None
-        branches.append(_extract_branch(rows, pack, applies=applies, **options))
-    return reduce(DataFrame.unionByName, branches)
+    wanted = list(dict.fromkeys(outputs))
+    unknown = set(wanted) - set(RESULT_COLUMNS)
+    if unknown:
+        raise ValueError(f"no such outputs: {sorted(unknown)}")
+    packs = merge_equal(_first_of_each_county(packs))
+    if county is not None:
+        filings = filings.withColumn("county", F.lit(county))
+        packs = [p.for_counties([county]) for p in packs if county in p.counties]
+    kept = [c for c in filings.columns if c not in ("text", "elements", *RESULT_COLUMNS)]
+    if extracted_at is not None:
+        kept = [c for c in kept if c != "extraction_timestamp"]
+
+    step = filings
+    if "emails" in wanted:
+        step = step.withColumn("emails", compiled("emails", lambda: emails(F.col("text"))))
+    if "plaintiff_contact" in wanted:
+        step = add_contact(step, "text", "plaintiff_contact", fuzzy=fuzzy, bound=False)
+    if wanted:
+        step = _with_dates(step, packs, wanted, skip, null_safe)
+    if "extracted_data" in wanted:
+        step = step.withColumn("extracted_data", _by_fields(packs, extracted_map))
+    fine = F.col("_error").isNull()
+    values = {"error": F.col("_error"), **{c: F.col(f"_{c}") for c in DATE_COLUMNS}}
+    found = [values.get(c, F.when(fine, F.col(c))).alias(c) for c in wanted]
+    named = F.coalesce("county", F.lit(V.DEFAULT_COUNTY)).alias("county")
+    stamp = [] if extracted_at is None else [extracted_at.alias("extraction_timestamp")]
+    return step.select(*[named if c == "county" else F.col(c) for c in kept], *found, *stamp)
+
+
+def _with_dates(step: DataFrame, packs: list[RulePack], wanted: list[str], skip, null_safe: bool) -> DataFrame:
+    """Field columns, ``_error`` and the asked date columns (named ``_<column>``) behind one generator."""
+    fields = list(dict.fromkeys(f for pack in packs for f in pack.fields))
+    needed = fields if "extracted_data" in wanted else [f for f in fields if is_date_field(f)]
+    counties = sorted({c for pack in packs for c in pack.counties})
+    applies = F.coalesce(F.col("county").isin(counties), F.lit(False))
+    step = _with_fields(step, packs, applies, len(packs) > 1, needed)
+    candidates = compiled(
+        ("candidates", tuple((tuple(p.fields), p.counties) for p in packs)),
+        lambda: _by_fields(packs, lambda own: candidate_array(own, field_column)),
+    )
+    step = resolve_dates(
+        step, fields, column=field_column, skip=skip, null_safe=null_safe, candidates=candidates
+    )
+    error = F.when(F.col("text").isNull(), F.lit(MISSING_TEXT)).otherwise(F.col("date_error"))
+    fine = error.isNull()
+    dates = {f"_{c}": F.when(fine, F.col(c)) for c in DATE_COLUMNS if c in wanted}
+    return bind(step, {"_error": error, **dates})

@@ -92,7 +92,7 @@ def test_two_rule_sets_cover_all_rows_once(spark):
     assert [sorted(r["extracted_data"])[-1:] for r in rows] == [
         ["numeric_date"], ["numeric_date"], [], []]
     assert len(rows[0]["extracted_data"]) > 1 and len(rows[1]["extracted_data"]) == 1
-    assert [r["county"] for r in rows] == ["x", "y", "z", None]
+    assert [r["county"] for r in rows] == ["x", "y", "z", "unknown"]
 
 
 def test_extraction_has_no_shuffle(spark):
