@@ -281,7 +281,23 @@ def _longest(whole: Column, groups: list[Column]) -> Column:
     return F.coalesce(blank_to_null(longest), whole)
 
 
+def has_sure_group(pattern: str) -> bool:
+    """True if the pattern has one group, which is never empty in a match."""
+    def sure(tree) -> bool:
+        for op, av in tree:
+            kind = str(op)
+            if kind == "SUBPATTERN" and (sure(av[3]) or (av[0] == 1 and av[3].getwidth()[0] > 0)):
+                return True
+            if kind == "MAX_REPEAT" and av[0] > 0 and sure(av[2]):
+                return True
+        return False
+
+    return group_count(pattern) == 1 and sure(re_parser.parse(pattern))
+
+
 def best_group(text: Column, pattern: str) -> Column:
     """Longest non-empty group of the first match (first on ties), else all of it."""
+    if has_sure_group(pattern):
+        return blank_to_null(first_match(text, pattern, 1))
     groups = [first_match(text, pattern, k) for k in range(1, group_count(pattern) + 1)]
     return _longest(blank_to_null(first_match(text, pattern)), groups)

@@ -66,34 +66,37 @@ def build_mapping(documents: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def map_files(files: DataFrame, mapping: DataFrame, order: str) -> DataFrame:
-    """Add ``mongo_doc_id`` and ``original_gcs_path`` by file name.
+def look_up_files(names: DataFrame, mapping: DataFrame, order: str) -> DataFrame:
+    """``(pdf_file, mongo_doc_id, original_gcs_path)`` of the distinct names that a mapping key fits.
 
     An exact hit wins.  Otherwise the first key (by ``order``) that the name
     ends with: the name's suffixes, at the lengths keys really have, meet the keys
-    in an equi-join.  Names are looked up once each, however often they occur.
+    in one equi-join; the whole name is one of them.
     """
-    names = files.select("pdf_file").distinct()
     keys = mapping.select(
         F.col("file_name").alias("key"), F.col("doc_id").alias("mongo_doc_id"),
         F.col("original_path").alias("original_gcs_path"), F.col(order).alias("_order"),
     )
-    exact = names.join(keys, names["pdf_file"] == keys["key"], "left")
-    hit = exact.where(F.col("key").isNotNull()).select("pdf_file", "mongo_doc_id", "original_gcs_path")
-    miss = exact.where(F.col("key").isNull()).select("pdf_file")
     # at most as many lengths as a file name has characters
     lengths = keys.select(F.collect_set(F.length("key"))).scalar()
-    suffixes = miss.select(
-        "pdf_file",
-        F.explode(lengths).alias("n"),
-    ).where(F.col("n") <= F.length("pdf_file")).select("pdf_file", F.right(F.col("pdf_file"), F.col("n")).alias("key"))
-    by_suffix = (
+    suffixes = (
+        names.select("pdf_file").distinct()
+        .select("pdf_file", F.explode(lengths).alias("n"))
+        .where(F.col("n") <= F.length("pdf_file"))
+        .select("pdf_file", F.right(F.col("pdf_file"), F.col("n")).alias("key"))
+    )
+    rank = F.struct((F.col("key") != F.col("pdf_file")).alias("longer"), "_order")
+    return (
         suffixes.join(keys, "key")
         .groupBy("pdf_file")
-        .agg(F.min_by(F.struct("mongo_doc_id", "original_gcs_path"), "_order").alias("first"))
+        .agg(F.min_by(F.struct("mongo_doc_id", "original_gcs_path"), rank).alias("first"))
         .select("pdf_file", "first.*")
     )
-    return files.join(hit.unionByName(by_suffix), "pdf_file", "left")
+
+
+def map_files(files: DataFrame, mapping: DataFrame, order: str) -> DataFrame:
+    """Add ``mongo_doc_id`` and ``original_gcs_path`` by file name; names are looked up once each, however often they occur."""
+    return files.join(look_up_files(files, mapping, order), "pdf_file", "left")
 
 
 def has_values(df: DataFrame) -> DataFrame:
@@ -119,6 +122,51 @@ def documents_problem(documents_json: Column) -> Column:
     )
 
 
+def split_catalog(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cases whose JSON text of documents can be read, and the others with the ``reason`` why not.
+
+    Readable ones keep their text and get ``documents`` decoded, beside ``elements``: the text of each document.
+    """
+    told = cases.withColumn("reason", documents_problem(F.col("documents")))
+    good = told.where(F.col("reason").isNull()).drop("reason").withColumns(
+        {
+            "elements": F.from_json("documents", "array<string>"),
+            "documents": parse_documents(F.col("documents")),
+        }
+    )
+    return good, told.where(F.col("reason").isNotNull())
+
+
+def update_json_store(
+    cases: DataFrame, results: DataFrame, order: str = "extraction_timestamp"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The individual update over a store that holds documents as JSON text.
+
+    Returns the readable cases with their text written anew, one status row per (case, path), and the quarantine:
+    unreadable cases with the reason, as they were.  Keys that the library does not know stay in a document; a
+    document that no result names keeps its text to the letter.  Results of an unreadable case have the reason as status.
+    """
+    good, bad = split_catalog(cases)
+    located = locate(good, has_values(results), order)
+    known = [*VALUE_FIELDS, "extraction_timestamp", "extracted_by"]
+
+    def change(old, new):
+        fields = F.from_json(old, "map<string,string>")
+        values = [F.coalesce(blank_to_null(new[c]), F.try_element_at(fields, F.lit(c))) for c in VALUE_FIELDS]
+        values += [new[order].cast("string"), F.lit(V.EXTRACTED_BY)]
+        others = F.map_filter(fields, lambda k, _: ~k.isin(*known))
+        return F.to_json(F.map_concat(others, F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*values))))
+
+    texts = rewrite(good.select("case_id", F.col("elements").alias("documents")), located, change)
+    written = F.concat(F.lit("["), F.array_join("documents", ","), F.lit("]"))
+    texts = texts.select("case_id", F.when(F.col("_touched"), written).alias("_text"))
+    kept = [c for c in cases.columns if c != "documents"]
+    new = cases.join(texts, "case_id").select(*kept, F.coalesce("_text", "documents").alias("documents"))
+    reasons = bad.select("case_id", "reason")
+    status = update_status(located).join(reasons, "case_id", "left")
+    return new, status.select("case_id", "doc_path", F.coalesce("reason", "status").alias("status")), bad
+
+
 def touched_cases(cases: DataFrame, results: DataFrame) -> DataFrame:
     """The cases that results speak of."""
     return cases.join(results.select("case_id").distinct(), "case_id", "left_semi")

@@ -119,13 +119,13 @@ def _asked(pattern: str) -> list[tuple[str, ...]]:
 
 
 def rule_patterns(rule: dict) -> list[str]:
-    """The patterns of a rule that a text has to match somewhere."""
+    """The patterns that a rule looks for in a text."""
     kind = rule.get("type", "")
     listed = {
         "regex": [rule.get("regex", "")],
         "facts_pattern": [rule.get("date_regex", "")],
         "fuzzy_date": fuzzy_variants(rule.get("base_patterns", [])) if kind == "fuzzy_date" else [],
-        "contextual_search": rule.get("target_patterns", []),
+        "contextual_search": [*rule.get("target_patterns", []), *map(re.escape, rule.get("primary_keywords", []))],
         "multi_pattern": [p.get("regex", "") for p in rule.get("patterns", [])] if kind == "multi_pattern" else [],
         "multi_date": rule.get("date_patterns", []),
     }.get(kind, [])
@@ -208,14 +208,17 @@ def section_rule(rule: dict, doc: Doc) -> Column:
 
     def after(keyword):
         at = position(doc.lower, keyword.lower())
-        return F.when(at >= 0, at + len(keyword))
+        return F.when(F.contains(doc.lower, F.lit(keyword.lower())), at + len(keyword))
 
     start = F.coalesce(*[after(k) for k in starts])
     length = F.length(doc.text)
 
     def cut(start):
-        found = [position(doc.lower, k.lower(), start) for k in ends]
-        stops = [F.when(p >= 0, p).otherwise(length) for p in found]
+        # a keyword that is not there stands beyond all texts
+        stops = [
+            F.when(F.contains(doc.lower, F.lit(k.lower())), position(doc.lower, k.lower(), start).bitwiseAND(F.lit(2**31 - 1)))
+            for k in ends
+        ]
         end = F.least(length, *stops) if stops else length
         return F.when(start < end, strip(F.substring(doc.text, start + 1, end - start)))
 
@@ -230,13 +233,16 @@ def facts_rule(rule: dict, doc: Doc) -> Column:
         return _none()
     group = 1 if R.group_count(pattern) else 0
     before, after = V.FACTS_WINDOW
-    value = None
-    for keyword in keywords:
+
+    def near(keyword):
         at = position(doc.lower, keyword.lower())
-        near = window(doc.text, at - before, at + after)
-        hit = (at >= 0) & R.matches(near, pattern)
-        found = R.first_match(near, pattern, group)
-        value = F.when(hit, found) if value is None else value.when(hit, found)
+        cut = let(at, lambda at: window(doc.text, at - before, at + after))
+        return F.when(F.contains(doc.lower, F.lit(keyword.lower())), cut)
+
+    def found(cut):
+        return F.when(R.matches(cut, pattern), R.first_match(cut, pattern, group))
+
+    value = F.coalesce(*[let(near(k), found) for k in keywords])
     return _gate(doc, [pattern], value)
 
 
@@ -279,10 +285,17 @@ def fuzzy_rule(rule: dict, doc: Doc) -> Column:
     tries = []
     for keyword in rule.get("context_keywords", []):
         at = position(doc.lower, keyword.lower())
-        near = window(doc.text, at - before, at + after)
-        found = F.coalesce(*[R.best_group(near, v) for v in variants])
-        tries.append(F.when((at >= 0) & R.matches_any(near, variants), found))
-    tries += [R.best_group(doc.text, v) for v in variants]
+        near = let(at, lambda at: window(doc.text, at - before, at + after))
+
+        def best(near):
+            # words of a window stand in the text too
+            usable = [(R.best_group(near, v), doc.may_match(v)) for v in variants]
+            return F.coalesce(*[x if may is None else F.when(may, x) for x, may in usable])
+
+        tries.append(F.when(F.contains(doc.lower, F.lit(keyword.lower())), let(near, best)))
+    for v in variants:
+        found, may = R.best_group(doc.text, v), doc.may_match(v)
+        tries.append(found if may is None else F.when(may, found))
     return _gate(doc, variants, F.coalesce(*tries))
 
 

@@ -20,7 +20,7 @@ from ..operators import report as P
 from ..operators import rules as FR
 from ..operators import validate as Q
 from ..plans.extract import extract, field_column, with_fields
-from ..plans.runs import batch_run, individual_run
+from ..plans.runs import batch_job, batch_run, individual_job, individual_run
 from ..session import shared_folder
 from ..sources import packs as PK
 from ..sources import sinks as SK
@@ -35,6 +35,7 @@ ORACLES: dict[str, str] = {}
 COUNTIES = [f"nation_{i}county" for i in range(20)]  # 20 to 24 have no pack
 ALL_COUNTIES = [f"nation_{i}county" for i in range(25)]
 PACK = O.PACK
+SUMMED = ("incident_date", "error")
 RESULT_FIELDS = (
     "filing_id", "county", "incident_date", "incident_source_field", "incident_end_date",
     "incident_end_source_field", "emails", "plaintiff_contact", "error",
@@ -214,7 +215,8 @@ def s8(spark, sf):
 )
 def s9(spark, sf):
     path = shared_folder(spark, "document-json")
-    SK.write_per_document_json(results_of(X.filings(spark, sf)), path)
+    results_of(X.filings(spark, sf)).write.parquet(f"{path}-results")
+    SK.write_per_document_json(spark.read.parquet(f"{path}-results"), path, rows_per_file=500)
     schema = "filing_id long, stem string, incident_date string, county string"
     return spark.read.schema(schema).json(path).select("filing_id", "county", "stem", "incident_date")
 
@@ -378,14 +380,15 @@ def _map(spark, sf):
     "r6_mapping_exact",
     on_filings(
         f"SELECT filing_id, f.pdf_file, k.doc_id AS mongo_doc_id, k.original_path AS original_gcs_path FROM"
-        f" (SELECT filing_id, {FILE} AS pdf_file FROM filings) f JOIN keyed k ON f.pdf_file = k.file_name",
+        f" (SELECT filing_id, {FILE} AS pdf_file FROM filings) f LEFT JOIN keyed k ON f.pdf_file = k.file_name"
+        " AND seq < 1000000 AND seq % 3 <> 0",
         KEYED.format(text="VARCHAR")),
 )
 def r6(spark, sf):
     files, keys = _map(spark, sf)
-    return files.join(keys, F.col("pdf_file") == F.col("file_name")).select(
-        "filing_id", "pdf_file", F.col("doc_id").alias("mongo_doc_id"),
-        F.col("original_path").alias("original_gcs_path"))
+    whole_names = keys.where("seq < 1000000 AND seq % 3 <> 0")
+    return C.map_files(files, whole_names, "seq").select(
+        "filing_id", "pdf_file", "mongo_doc_id", "original_gcs_path")
 
 
 @query(
@@ -510,6 +513,39 @@ def r12(spark, sf):
         F.get(C.parse_documents(body), F.lit(0))["doc_path"].alias("doc_path"))
 
 
+def json_cases(spark, sf) -> DataFrame:
+    """The catalog as a JSON store: some cases without text, some with broken text, a key the library does not know."""
+    cases = cases_of(spark, sf)
+    number = F.substring("case_id", 5, 20).cast("long") / 4
+    text = F.to_json(F.transform("documents", lambda d: F.struct(
+        d["doc_path"].alias("doc_path"), d["description"].alias("description"),
+        d["incident_date"].alias("incident_date"), F.lit("k").alias("note"))))
+    broken = F.when(number % 7 == 0, F.lit('[{"doc_path": ')).when(number % 7 == 1, F.lit(""))
+    return cases.withColumn("documents", F.coalesce(broken, text))
+
+
+@query(
+    "r12_json_store",
+    on_filings(
+        "SELECT c.case_id, c.idx, c.doc_path, coalesce(nullif(u.incident_date, ''), c.incident_date) AS incident_date,"
+        " nullif(u.emails, '') AS emails, CASE WHEN u.case_id IS NOT NULL THEN 'individual_pdf_service' END AS extracted_by,"
+        " 'k' AS note, CAST(NULL AS VARCHAR) AS reason FROM numbered c LEFT JOIN (SELECT * FROM latest WHERE"
+        " coalesce(nullif(incident_date, ''), nullif(emails, '')) IS NOT NULL) u ON c.case_id = u.case_id AND c.doc_path = u.doc_path"
+        " WHERE k > 1 UNION ALL SELECT DISTINCT case_id, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),"
+        " CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),"
+        " CASE k WHEN 0 THEN 'invalid JSON' ELSE 'no documents' END FROM numbered WHERE k < 2",
+        *UPDATE_CTES,
+        "numbered AS (SELECT *, CAST(substr(case_id, 5) AS BIGINT) // 4 % 7 AS k FROM case_documents)"),
+)
+def r12_store(spark, sf):
+    cases, _, rejected = C.update_json_store(json_cases(spark, sf), _updates(spark, sf))
+    shape = "array<struct<doc_path:string,incident_date:string,emails:string,extracted_by:string,note:string>>"
+    flat = cases.select("case_id", F.posexplode(F.from_json("documents", shape)).alias("idx", "d")).select(
+        "case_id", F.col("idx").cast("long").alias("idx"), "d.*", F.lit(None).cast("string").alias("reason"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in flat.dtypes if c not in ("case_id", "reason")]
+    return flat.unionByName(rejected.select("case_id", *none, "reason"))
+
+
 @query(
     "r13_updated_stores",
     on_filings(
@@ -832,12 +868,19 @@ def c2(spark, sf):
     return rows.select("filing_id", "contact")
 
 
-@query("c3_fuzzy_trigger")
+# the demand of two thirds of the variants equals a phrase or nearly so; what stands between it and the attorneys is kept
+@query(
+    "c3_fuzzy_trigger",
+    on_filings(
+        "SELECT filing_id, CASE WHEN variant IN (0, 1, 3, 4, 6, 7) THEN regexp_extract(text, 'Law Office of [^\n]*', 0) || chr(10)"
+        " || regexp_extract(text, 'office[0-9]*@example.com', 0) END AS contact FROM filings"),
+)
 def c3(spark, sf):
     return K.add_strict_contact(X.filings(spark, sf), "text", "contact").select("filing_id", "contact")
 
 
-@query("c3_fuzzy_trigger_documents")
+# no line of the prose is near a demand for a jury, and no row may come by chance
+@query("c3_fuzzy_trigger_documents", "SELECT doc_id, CAST(NULL AS VARCHAR) AS contact FROM documents")
 def c3_documents(spark, sf):
     return K.add_contact(documents(spark, sf), "text", "contact").select("doc_id", "contact")
 
@@ -881,7 +924,7 @@ SUMMARY = (
 
 
 def summary(spark, sf):
-    return P.summarize(results_of(X.troubled_filings(spark, sf)), "county")
+    return P.summarize(results_of(X.troubled_filings(spark, sf), outputs=SUMMED), "county")
 
 
 @query("a1_summary", on_troubled(SUMMARY, *O.results_ctes("troubled", COUNTIES)))
@@ -921,15 +964,15 @@ def a4(spark, sf):
     on_filings(
         "SELECT lower(n_name) || 'county' AS county, coalesce(n, 0) AS total_files, coalesce(d, 0) AS incident_dates_found,"
         " CASE WHEN n IS NULL THEN 'No PDF files found in ' || lower(n_name) || 'county' END AS message FROM nation LEFT JOIN"
-        " (SELECT county, count(*) AS n, count(incident_date) AS d FROM results WHERE variant <> 6 AND county NOT LIKE '%2%' GROUP BY county)"
+        " (SELECT county, count(*) AS n, count(incident_date) AS d FROM results WHERE county NOT LIKE '%2%' GROUP BY county)"
         " ON county = lower(n_name) || 'county'",
         *O.results_ctes("filings", COUNTIES)),
 )
 def a5(spark, sf):
     counties = X.table(spark, sf, "nation").select(
         F.concat(F.lower("n_name"), F.lit("county")).alias("county"))
-    filings = X.filings(spark, sf).where("variant <> 6 AND county NOT LIKE '%2%'")
-    rows = P.summary_for_counties(counties, results_of(filings))
+    filings = X.filings(spark, sf).where("county NOT LIKE '%2%'")
+    rows = P.summary_for_counties(counties, results_of(filings, outputs=SUMMED))
     return rows.select("county", "total_files", "incident_dates_found", "message")
 
 
@@ -998,6 +1041,69 @@ def e1(spark, sf):
                           "incident_date", "incident_end_date")
 
 
+@query(
+    "e1_batch_job",
+    on_filings(
+        """SELECT c.case_id, c.idx, c.doc_path, CASE WHEN r.filing_id IS NULL THEN c.incident_date ELSE r.incident_date END AS incident_date,
+  r.incident_end_date, r.emails FROM case_documents c LEFT JOIN results r ON r.doc_path = c.doc_path AND c.case_id IN
+    (SELECT case_id FROM case_documents WHERE court_name = 'Orange County' AND description = 'Initial Complaint')""",
+        *O.results_ctes("filings", COUNTIES), X.CASE_DOCUMENTS_CTE),
+)
+def e1_job(spark, sf):
+    filings = X.with_elements(X.filings(spark, sf))
+    job = batch_job(
+        cases_of(spark, sf), filings, [PACK.for_counties(COUNTIES)], "orange", "initial complaint",
+        shared_folder(spark, "job"), "run")
+    return flat_cases(job.cases).select(
+        "case_id", "idx", "doc_path", "incident_date", "incident_end_date", "emails")
+
+
+REQUESTS = """requests AS (SELECT 'case' || CAST(filing_id - filing_id % 4 AS {text}) AS case_id,
+  CASE WHEN filing_id % 4 = 0 THEN NULL WHEN filing_id % 4 = 1 THEN lpad(CAST(filing_id AS {text}), 24, 'a')
+    WHEN filing_id % 4 = 2 THEN lpad(CAST(filing_id AS {text}), 24, 'z') ELSE CAST(filing_id AS {text}) END AS mongo_id,
+  '  ' || doc_path || ' ' AS doc_path, CASE WHEN filing_id % 10 = 0 THEN '' ELSE 'Complaint' END AS document_description
+  FROM troubled)"""
+
+
+@query(
+    "e2_individual_job",
+    on_troubled(
+        "SELECT 'case' || CAST(filing_id - filing_id % 4 AS VARCHAR) AS case_id, doc_path, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END"
+        " AS status, error IS NULL AND filing_id % 4 = 1 AS mongodb_updated, error IS NULL AND filing_id % 11 <> 0 AS postgresql_updated,"
+        " incident_date, CASE WHEN error IS NOT NULL THEN 'Failed to extract data from Complaint: ' || error"
+        " WHEN filing_id % 4 <> 1 AND filing_id % 11 = 0 THEN 'Successfully extracted data from Complaint'"
+        " ELSE 'Successfully extracted incident dates, emails, and plaintiff contact for Complaint (Updated: ' ||"
+        " CASE WHEN filing_id % 4 <> 1 THEN 'PostgreSQL' WHEN filing_id % 11 = 0 THEN 'MongoDB' ELSE 'MongoDB & PostgreSQL' END || ')'"
+        " END AS message FROM results WHERE filing_id % 4 < 2 AND filing_id % 10 <> 0",
+        *O.results_ctes("troubled")),
+)
+def e2_job(spark, sf):
+    requests = X.run_sql(
+        spark, sf, [X.FILINGS_CTE, X.TROUBLED_CTE, REQUESTS.format(text="STRING")], "SELECT * FROM requests")
+    filings = X.with_elements(X.troubled_filings(spark, sf)).select(
+        "doc_path", "text", "elements", "county", TB.base_name(F.col("doc_path")).alias("pdf_file"))
+    rows, _ = individual_job(requests, filings, PK.individual_pack(), cases_of(spark, sf), shared_folder(spark, "job"))
+    return rows.select("case_id", "doc_path", "status", "database_updates.*", "incident_date", "message")
+
+
+def landed_filings(spark, sf, folder: str, files: int, files_per_batch: int) -> DataFrame:
+    """Filings as files in a landing folder, read as a stream."""
+    rows = X.filings(spark, sf).select("filing_id", "county", "doc_path", "text")
+    rows.repartition(files, "filing_id").write.parquet(f"{folder}/landing")
+    return ST.read_landing(spark, f"{folder}/landing", rows.schema, files_per_batch)
+
+
+@query(
+    "s12_landing_stream",
+    on_filings(f"SELECT {', '.join(RESULT_FIELDS)} FROM results", *O.results_ctes("filings", COUNTIES)),
+)
+def s12(spark, sf):
+    folder = shared_folder(spark, "landing")
+    rows = ST.extract_stream(landed_filings(spark, sf, folder, 6, 2), [PACK.for_counties(COUNTIES)], outputs=RESULT_FIELDS[2:])
+    ST.append_results(rows.select(*RESULT_FIELDS), f"{folder}/results", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/results")
+
+
 def streamed_filings(spark, sf):
     """Filings whose orders arrive as a stream."""
     schema = spark.read.parquet(f"{sf}/orders.parquet").schema
@@ -1038,6 +1144,20 @@ def t2(spark, sf):
     return merged.select("case_id", "idx", "incident_date", "incident_end_date", "emails", "extracted_by")
 
 
+@query("t2_compacted_log", ORACLES["t2_stream_catalog"])
+def t2_compacted(spark, sf):
+    folder = shared_folder(spark, "compacted")
+    key = F.col("filing_id")
+    rows = ST.extract_stream(landed_filings(spark, sf, folder, 6, 2), [PACK.for_counties(COUNTIES)]).withColumns({
+        "case_id": F.concat(F.lit("case"), (key - key % 4).cast("string")),
+        "extraction_timestamp": key.cast("string")})
+    ST.log_catalog_updates(rows, f"{folder}/updates", f"{folder}/state").awaitTermination()
+    ST.compact_updates(spark, f"{folder}/updates")
+    updates = spark.read.parquet(f"{folder}/updates")
+    merged = flat_cases(ST.catalog_with_updates(cases_of(spark, sf), updates))
+    return merged.select("case_id", "idx", "incident_date", "incident_end_date", "emails", "extracted_by")
+
+
 @query("t3_stream_jobs", JOBS.replace(", count(*) OVER () AS total_jobs", ""))
 def t3(spark, sf):
     folder = shared_folder(spark, "jobs")
