@@ -151,9 +151,13 @@ def update_json_store(
     known = [*VALUE_FIELDS, "extraction_timestamp", "extracted_by"]
 
     def change(old, new):
-        fields = F.from_json(old, "map<string,string>")
-        values = [F.coalesce(blank_to_null(new[c]), F.try_element_at(fields, F.lit(c))) for c in VALUE_FIELDS]
-        values += [new[order].cast("string"), F.lit(V.EXTRACTED_BY)]
+        # variants, so that numbers and arrays under other keys stay what they are
+        fields = F.from_json(old, "map<string,variant>")
+        values = [
+            F.coalesce(blank_to_null(new[c]), F.try_element_at(fields, F.lit(c)).cast("string")).cast("variant")
+            for c in VALUE_FIELDS
+        ]
+        values += [new[order].cast("string").cast("variant"), F.lit(V.EXTRACTED_BY).cast("variant")]
         others = F.map_filter(fields, lambda k, _: ~k.isin(*known))
         return F.to_json(F.map_concat(others, F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*values))))
 

@@ -18,7 +18,7 @@ from ..functions.compiled import compiled
 from ..functions.dates import is_date_field
 from ..functions.text import bind
 from ..operators.contact import add_contact
-from ..operators.layout import ELEMENT_TYPE
+from ..operators.layout import ELEMENT_TYPE, nearest_word_join
 from ..operators.resolve import DATE_COLUMNS, candidate_array, resolve_dates
 from ..operators.rules import RULE_TYPES, Doc, Shared, emails, rule_column, shared_of
 from ..sources.packs import RulePack, merge_equal
@@ -51,10 +51,16 @@ def with_fields(
     return _with_fields(filings, packs, F.lit(True), by_county, only, bind)
 
 
+def _key(rule: dict) -> str:
+    return json.dumps(rule, sort_keys=True)
+
+
 def _with_fields(
-    filings: DataFrame, packs: list[RulePack], applies: Column, by_county: bool, only, add=DataFrame.withColumns
+    filings: DataFrame, packs: list[RulePack], applies: Column, by_county: bool, only, add=DataFrame.withColumns, found=None
 ) -> DataFrame:
-    """``add`` is ``bind`` where filters on fields may follow: pushed below plain columns they would carry a copy of
+    """``found`` names the columns that hold what rules, by their text, have found elsewhere.
+
+    ``add`` is ``bind`` where filters on fields may follow: pushed below plain columns they would carry a copy of
     every step that made the field."""
     wanted = None if only is None else set(only)
     # field -> rule as text -> counties whose packs have it
@@ -63,7 +69,7 @@ def _with_fields(
     for pack in packs:
         for field in dict.fromkeys(pack.fields):
             if wanted is None or field in wanted:
-                key = json.dumps(pack.rules[field], sort_keys=True)
+                key = _key(pack.rules[field])
                 rules[key] = pack.rules[field]
                 users.setdefault(field, {}).setdefault(key, []).extend(pack.counties)
     if not users:
@@ -81,7 +87,7 @@ def _with_fields(
     for field, by_rule in users.items():
         value = None
         for key, counties in by_rule.items():
-            column = _compiled_rule(rules[key], shared)
+            column = F.when(applies, F.col(found[key])) if found and key in found else _compiled_rule(rules[key], shared)
             if by_county and set(counties) != every:
                 own = F.col("county").isin(sorted(set(counties)))
                 value = F.when(own, column) if value is None else value.when(own, column)
@@ -93,7 +99,7 @@ def _with_fields(
 
 def _compiled_rule(rule: dict, shared: Shared) -> Column:
     """Column of a rule over ``_text``, ``_lower``, ``_elements`` and what rules share."""
-    key = ("rule", RULE_TYPES.get(rule.get("type", "")), json.dumps(rule, sort_keys=True), shared)
+    key = ("rule", RULE_TYPES.get(rule.get("type", "")), _key(rule), shared)
     doc = Doc(F.col("_text"), F.col("_lower"), F.col("_elements"), shared)
     return compiled(key, lambda: rule_column(rule, doc))
 
@@ -148,6 +154,8 @@ def extract(
     skip: tuple[str, ...] = V.KNOWN_FILING_DATES,
     county: str | None = None,
     extracted_at: Column | None = None,
+    layout: DataFrame | None = None,
+    key: str | None = None,
 ) -> DataFrame:
     """Extract with the pack of each filing's county; other counties get no fields.
 
@@ -159,6 +167,10 @@ def extract(
 
     ``county`` is the job's own county: it names all results, and its pack reads all rows.  Without it a row keeps
     its county, and rows without one are ``unknown``.  ``extracted_at`` adds ``extraction_timestamp``.
+
+    ``layout`` is a table of layout elements, one row each, that belongs to the filings by the column ``key``; it stands
+    for the ``elements`` array.  Elements meet their neighbours in a join of their own, and one row per document with a
+    hit is joined in: the only shuffle of an extraction.
     """
     wanted = list(dict.fromkeys(outputs))
     unknown = set(wanted) - set(RESULT_COLUMNS)
@@ -177,8 +189,11 @@ def extract(
         step = step.withColumn("emails", compiled("emails", lambda: emails(F.col("text"))))
     if "plaintiff_contact" in wanted:
         step = add_contact(step, "text", "plaintiff_contact", fuzzy=fuzzy, bound=False)
+    found = None
+    if layout is not None and "extracted_data" in wanted:
+        step, found = _with_layout(step.drop("elements"), packs, layout, key)
     if wanted:
-        step = _with_dates(step, packs, wanted, skip, null_safe)
+        step = _with_dates(step, packs, wanted, skip, null_safe, found)
     if "extracted_data" in wanted:
         step = step.withColumn("extracted_data", _by_fields(packs, extracted_map))
     fine = F.col("_error").isNull()
@@ -189,13 +204,26 @@ def extract(
     return step.select(*[named if c == "county" else F.col(c) for c in kept], *found, *stamp)
 
 
-def _with_dates(step: DataFrame, packs: list[RulePack], wanted: list[str], skip, null_safe: bool) -> DataFrame:
+def _with_layout(step: DataFrame, packs: list[RulePack], layout: DataFrame, key: str) -> tuple[DataFrame, dict[str, str]]:
+    """What proximity rules find in the element table, a column for each distinct rule, and their names by rule."""
+    rules = {_key(r): r for pack in packs for r in pack.rules.values() if r.get("type") == "nearest_word"}
+    names = {k: f"_near{i}" for i, k in enumerate(rules)}
+    if not rules:
+        return step, names
+    values = nearest_word_join(layout, {names[k]: r for k, r in rules.items()}, key)
+    each = [F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in names.values()]
+    return step.join(values.groupBy(key).agg(*each), key, "left"), names
+
+
+def _with_dates(
+    step: DataFrame, packs: list[RulePack], wanted: list[str], skip, null_safe: bool, found: dict[str, str] | None
+) -> DataFrame:
     """Field columns, ``_error`` and the asked date columns (named ``_<column>``) behind one generator."""
     fields = list(dict.fromkeys(f for pack in packs for f in pack.fields))
     needed = fields if "extracted_data" in wanted else [f for f in fields if is_date_field(f)]
     counties = sorted({c for pack in packs for c in pack.counties})
     applies = F.coalesce(F.col("county").isin(counties), F.lit(False))
-    step = _with_fields(step, packs, applies, len(packs) > 1, needed)
+    step = _with_fields(step, packs, applies, len(packs) > 1, needed, found=found)
     candidates = compiled(
         ("candidates", tuple((tuple(p.fields), p.counties) for p in packs)),
         lambda: _by_fields(packs, lambda own: candidate_array(own, field_column)),

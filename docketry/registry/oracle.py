@@ -29,6 +29,18 @@ DATE_FIELDS = (
 )
 
 
+#: Fields of the shipped pack in extraction order with their rule types; written out for the same reason.
+PACK_FIELDS = (
+    ("case_number", "nearest_word"), ("description", "case_title"), ("case_type", "nearest_word"), ("judge_name", "nearest_word"),
+    ("filed_date", "nearest_word"), ("plaintiff", "section_pattern"), ("defendant", "section_pattern"),
+    ("multiple_dates_extractor", "multi_date"), ("advanced_incident_date", "multi_pattern"),
+    ("contextual_incident_search", "contextual_search"), ("fuzzy_incident_date", "fuzzy_date"), ("facts_date_2", "regex"),
+    ("incident_date_simple", "regex"), ("accident_date_pattern", "regex"), ("date_of_incident", "regex"), ("at_time_pattern", "regex"),
+    ("subject_incident_date", "regex"), ("loss_date", "regex"), ("facts_date_3", "regex"), ("facts_date", "facts_pattern"),
+    ("numeric_date", "regex"), ("complaint_facts", "section_pattern"),
+)
+
+
 def q(text: str) -> str:
     """SQL literal; control characters as chr()."""
     parts = text.split("\n")

@@ -152,8 +152,8 @@ def s4(spark, sf):
     "s5_pack_fields",
     on_filings(
         " UNION ALL ".join(
-            f"SELECT {i} AS pos, '{f}' AS field, '{PACK.rules[f]['type']}' AS rule_type, count({f}) AS n_filled FROM fields"
-            for i, f in enumerate(PACK.fields)),
+            f"SELECT {i} AS pos, '{f}' AS field, '{kind}' AS rule_type, count({f}) AS n_filled FROM fields"
+            for i, (f, kind) in enumerate(O.PACK_FIELDS)),
         *O.fields_ctes("filings")),
 )
 def s5(spark, sf):
@@ -854,6 +854,22 @@ def d9(spark, sf):
 CONTACT_SQL = "SELECT filing_id, contact FROM filings LEFT JOIN contacts USING (filing_id)"
 
 
+LAYOUT_FIELDS = ("case_number", "case_type", "judge_name", "filed_date")
+
+
+@query(
+    "f2_layout_table",
+    on_filings(f"SELECT filing_id, {', '.join(LAYOUT_FIELDS)} FROM fields", *O.fields_ctes("filings")),
+)
+def f2_layout(spark, sf):
+    filings = X.filings(spark, sf)
+    results = extract(
+        filings, [PACK.for_counties(ALL_COUNTIES)], outputs=("extracted_data",),
+        layout=X.layout_elements(filings), key="filing_id")
+    got = [F.try_element_at(F.col("extracted_data"), F.lit(c)).alias(c) for c in LAYOUT_FIELDS]
+    return results.select("filing_id", *got)
+
+
 @query("c1_batch_trigger", on_filings(CONTACT_SQL, *O.contact_ctes("filings")))
 def c1(spark, sf):
     return K.add_contact(X.filings(spark, sf), "text", "contact").select("filing_id", "contact")

@@ -190,14 +190,14 @@ def test_untouched_cases_are_not_listed(spark):
 
 
 def test_json_store(spark):
-    stored = [("a", '[{"doc_path":"p", "n": 1, "incident_date":"old"},  {"doc_path":"q","x":[1]}]'), ("b", "[{"), ("c", None), ("d", '[{"doc_path":"p"}]')]
+    stored = [("a", '[{"doc_path":"p", "n": 1, "m": [1, {"k": null}], "incident_date":"old"},  {"doc_path":"q","x":[1]}]'), ("b", "[{"), ("c", None), ("d", '[{"doc_path":"p"}]')]
     cases = spark.createDataFrame([(*r, 7) for r in stored], "case_id string, documents string, more int")
     results = spark.createDataFrame([("a", "p", "", "end", None, None, "5"), ("b", "p", "x", None, None, None, "5"), ("a", "none", "x", None, None, None, "5")], RESULT)
     new, status, bad = C.update_json_store(cases, results)
     texts = {r["case_id"]: r["documents"] for r in new.collect()}
     assert set(texts) == {"a", "d"} and texts["d"] == stored[3][1]
     first, second = json.loads(texts["a"])
-    assert first["incident_date"] == "old" and first["incident_end_date"] == "end" and first["n"] == "1" and first["extracted_by"]
+    assert first["incident_date"] == "old" and first["incident_end_date"] == "end" and first["n"] == 1 and first["m"] == [1, {"k": None}] and first["extracted_by"]
     assert second == {"doc_path": "q", "x": [1]}
     assert {(r["case_id"], r["status"]) for r in status.collect()} == {("a", "updated"), ("a", "not_found"), ("b", "invalid JSON")}
     assert {(r["case_id"], r["reason"], r["more"]) for r in bad.collect()} == {("b", "invalid JSON", 7), ("c", "no documents", 7)}
@@ -293,3 +293,16 @@ def test_job_log_keeps_no_state(spark):
     assert query.lastProgress is None or not query.lastProgress["stateOperators"]
     rows = ST.latest_job_status(spark.read.parquet(f"{folder}/log")).collect()
     assert {(r["job_id"], r["status"]) for r in rows} == {(0, "s6"), (1, "s7"), (2, "s8")}
+
+
+def test_element_table_gives_the_rows_of_the_array(spark):
+    lines = ["Case Number:", "2020-CA-1", "Judge:", "Ann", "Lee", "x", "Filed:"]
+    rows = [(d, "x" if d % 2 else "y", TEXT if d else None, [(0, i, w, 70.0 + 50 * (i % 3), 100.0 + 50 * (i % 3), 700.0 - 12 * (i // (d + 2))) for i, w in enumerate(lines)]) for d in range(4)]
+    kind = "array<struct<page:int,elem_idx:int,text:string,x0:double,x1:double,y0:double>>"
+    d = spark.createDataFrame(rows, f"id int, county string, text string, elements {kind}")
+    other = type(PACK)(("y",), {"case_number": {**PACK.rules["case_number"], "extract_words": 2}}, ("case_number",))
+    packs = [PACK.for_counties(["x"]), other]
+    array = extract(d, packs).orderBy("id").collect()
+    table = extract(d.drop("elements"), packs, layout=d.select("id", F.inline("elements")), key="id").orderBy("id").collect()
+    assert [r.asDict() for r in table] == [r.asDict() for r in array]
+    assert sum("case_number" in (r["extracted_data"] or {}) for r in array) >= 2
