@@ -119,7 +119,52 @@ _REACHED = """reached AS (
   SELECT id, id AS other FROM nodes UNION SELECT r.id, l.b AS other FROM reached r JOIN links l ON l.a = r.other
 )"""
 
+def _kmeans_sql() -> str:
+    """Lloyd's rounds as common table expressions: distance and number of a centroid in one number, so the least is both."""
+    steps = [
+        r"""v AS (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+)""",
+        f"""c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x FROM v ORDER BY sha256('2:' || vec_id), x LIMIT {CENTROIDS}
+)""",
+    ]
+    for r in range(ROUNDS + 1):
+        steps.append(f"""a{r} AS (
+  SELECT id, any_value(vec_id) AS vec_id, any_value(v.x) AS x,
+    min(list_sum(list_transform(list_zip(v.x, k.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * {CENTROIDS} + c) AS m FROM v, c{r} k GROUP BY id
+)""")
+        if r < ROUNDS:
+            steps.append(f"""n{r} AS (
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS x FROM (
+    SELECT m % {CENTROIDS} AS c, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 65) AS d(j) GROUP BY 1, 2) GROUP BY c
+), c{r + 1} AS (SELECT k.c, coalesce(n.x, k.x) AS x FROM c{r} k LEFT JOIN n{r} n ON n.c = k.c)""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, (m % {CENTROIDS})::INTEGER AS cluster, m // {CENTROIDS} AS distance, sum(m // {CENTROIDS}) OVER (PARTITION BY m % {CENTROIDS})::BIGINT AS cluster_inertia,
+  sum(m // {CENTROIDS}) OVER ()::BIGINT AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256 FROM a{ROUNDS} JOIN c{ROUNDS} k ON k.c = m % {CENTROIDS}"""
+
+
+def _chat_sql() -> str:
+    """Marks around a message have a length by its role; each control string and each backslash costs one character more."""
+    rows = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in PLANTED)
+    controls = ("\\", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<ROLE ", "<</ROLE>>")
+    more = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in controls)
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES {rows})
+), s AS (
+  SELECT *, length(text) + {more} + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 5 WHEN 'system' THEN 15 ELSE 18 + length(url_encode(role)) END AS n FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id"""
+
+
 ORACLES = {
+    "op11_centroids": _kmeans_sql(),
+    "op12_chat": _chat_sql(),
     "op5_substrings": r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
