@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import labelled
 
 FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 3.0, 1e-3, 2_000, 11
+#: Texts described at a time in a batch.
+ROWS = 256
 #: Every so manieth learning row (by hashed id) calibrates; the others fit.
 CALIBRATE = 4
 STATISTICS = (
@@ -144,6 +147,18 @@ def fit(stats: DataFrame, labels: DataFrame, learn: Column, column: str = "quali
     return model
 
 
+def score(model: Model, text: Column) -> Column:
+    """The score of a text column, 0 to 1; null texts score as empty ones. Only the texts travel to Python, some at a time."""
+
+    @F.pandas_udf("double")
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            parts = [model.score(np.array([statistics(t) for t in batch.iloc[low : low + ROWS]])) for low in range(0, len(batch), ROWS)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return scored(text)
+
+
 def score_texts(rows: DataFrame, model: Model, threshold: float) -> DataFrame:
     """rows with score (0 to 1) and predicted (1 if at least threshold), from text, or from x if there is such a
     column. Null texts score as empty ones; each row is scored by itself."""
