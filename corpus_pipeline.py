@@ -18,31 +18,46 @@ ORACLE_SQL = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is at least GOOD_FROM; learnt from the labels of those that are here."""
-    model = quality.fit(quality.described(docs.select("doc_id", "text")), table(spark, sf_dir, "labels"), F.lit(True))
-    return quality.score_texts(docs, model, GOOD_FROM).where("predicted = 1").select(*docs.columns)
+    """Documents whose score is at least GOOD_FROM; learnt from the labels of those that are here.
+
+    Null and empty texts score as texts without words; repeated rows get one score. Without labels here all scores are
+    a half, so all documents stay. Other columns pass through, whatever their names. The statistics that the fit reads
+    three times are stored.
+    """
+    described = stored(quality.described(docs.select("doc_id", "text")))
+    model = quality.fit(described, table(spark, sf_dir, "labels"), F.lit(True))
+    return docs.where(quality.score(model, F.col("text")) >= GOOD_FROM)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id."""
+    """One document of each group of near duplicates: that with the smallest id.
+
+    Texts without words are in no group. Of rows that repeat one doc_id all stay or go; rows without an id stay.
+    """
     return jaccard.one_per_group(docs).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    """Documents without a passage of a benchmark item. Rows without an id stay; of rows that share one all stay or go."""
+    leaks = decontaminate.find_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; n_chars counts the characters of the new text."""
-    text = pii.redacted(F.col("text"), F.col("spans"))
-    found = pii.find(docs).withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return found.select(*docs.columns)
+    """All documents, with personal data replaced by its kind; n_chars counts the characters of the new text.
+
+    Null texts stay null and their n_chars as it was. All columns travel in one, so none of them can clash.
+    """
+    found = pii.find(docs.select(F.struct(*docs.columns).alias("row"), "text"))
+    found = found.select("row", pii.redacted(F.col("text"), F.col("spans")).alias("redacted"))
+    new = {"text": F.col("redacted")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length("redacted").cast("long"), F.col("row.n_chars"))
+    return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids."""
+    """doc_id and token ids of each row; null and empty texts have none. Other columns go."""
     return bpe.encode(docs, vocabulary())
 
 
