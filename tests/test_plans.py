@@ -14,7 +14,7 @@ from docketry.operators.resolve import true_dates
 from docketry.operators.rules import Doc, rule_column, shared_of
 from docketry.plans.extract import RESULT_COLUMNS, extract
 from docketry.plans.runs import batch_job
-from docketry.registry.queries import PACK, nested_cases
+from docketry.registry.queries import PACK, landed_filings, nested_cases
 from docketry.session import shared_folder
 from docketry.sources import sinks as SK
 from docketry.streaming import jobs as ST
@@ -265,6 +265,17 @@ def test_landing_stream_restarts(spark):
     assert sorted(r["id"] for r in out.collect()) == list(range(60)) and len(seen) > 6
 
 
+def test_landed_files_give_work_to_all_cores(spark, sf):
+    folder, cores = shared_folder(spark, "landed"), spark.sparkContext.defaultParallelism
+    stream = landed_filings(spark, sf, folder, 6, 2)
+    files = spark.read.parquet(f"{folder}/landing").inputFiles()
+    assert len(files) == 6 * cores
+    batches = []
+    query = stream.writeStream.foreachBatch(lambda batch, _: batches.append((batch.select(F.input_file_name()).distinct().count(), batch.count()))).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [n for n, _ in batches] == [2 * cores] * 3 and sum(n for _, n in batches) == spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
 def test_compacted_log(spark):
     path, write = shared_folder(spark, "log"), None
     write = ST._to_batch_partition(path)
