@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import stored, unused
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts the trees learn from at most (the smallest hashes among those with candidates), rounds, depth, precision.
-SAMPLE, ROUNDS, DEPTH, PRECISION = 20_000, 8, 3, 0.99
+#: Rounds and depth of the trees, precision of the thresholds.
+ROUNDS, DEPTH, PRECISION = 8, 3, 0.99
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 #: The base patterns as Java reads them in time linear in the text: repeats give nothing back (what follows them never
@@ -210,12 +210,11 @@ def respelled(kind: str, m: Column) -> list[tuple[str, Column, int]]:
     return [("", g, 1) for g in good] + [("tel ", digits, 1)] + [("", b, 0) for b in bad] + [("no. ", digits, 0), ("no. ", _digits(fewer), 0)]
 
 
-def examples(rows: DataFrame, sample: int) -> DataFrame:
-    """key, start, kind, features, label of loose variants of base spans, in their surroundings: of each kind those of
-    the spans with the smallest hashes."""
+def examples(rows: DataFrame) -> DataFrame:
+    """key, start, kind, features, label of loose variants of all base spans, in their surroundings."""
     out = []
     for k, kind in enumerate(KINDS):
-        of_kind = rows.where((F.col("label") == 1) & (F.col("kind") == k)).orderBy(F.xxhash64("key", "start"), "key", "start").limit(max(sample // 160, 1))
+        of_kind = rows.where((F.col("label") == 1) & (F.col("kind") == k))
         variants = F.array(*(
             F.struct(F.concat(F.lit("") if put else F.col("around.before"), F.lit(put)).alias("before"), x.alias("match"), F.lit(float(label)).alias("label"))
             for put, x, label in respelled(kind, F.col("around.match"))
@@ -232,11 +231,10 @@ def _assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(rows.select("*", "features.*"))
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[GBTClassificationModel, list[float]] | None:
-    """Trees and the threshold of each kind from candidates; None where no example or no counterexample is known."""
-    order = (F.xxhash64("key", "start", "kind"), "key", "start", "kind")
-    known = [rows.where(F.col("label") == x).orderBy(*order).limit(max(sample // 4, 1)).select("key", "start", "kind", "features", "label") for x in (0, 1)]
-    learn = stored(known[0].unionByName(known[1]).withColumn("loose", F.col("label") == 0).unionByName(examples(rows, sample).withColumn("loose", F.lit(True))))
+def fit(rows: DataFrame) -> tuple[GBTClassificationModel, list[float]] | None:
+    """Trees and the threshold of each kind from all candidates with a label; None where no example or no counterexample is known."""
+    known = rows.where("label is not null").select("key", "start", "kind", "features", "label")
+    learn = stored(known.withColumn("loose", F.col("label") == 0).unionByName(examples(rows).withColumn("loose", F.lit(True))))
     if learn.select("label").distinct().count() < 2:
         return None
     # every third place calibrates the thresholds, with all variants of its span, and is not learnt from
@@ -260,7 +258,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[GBTClassificationModel,
     return model, thresholds
 
 
-def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def find(docs: DataFrame) -> DataFrame:
     """docs with base and spans: arrays of (start, kind, end), ordered by start and then kind (its number in KINDS).
 
     Places count code points, the end is exclusive. base holds valid matches of the base patterns, leftmost and without
@@ -274,7 +272,7 @@ def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     loose = F.col("text").rlike("|".join(LOOSE_GATE.values()))
     texts = d.where(loose).select(F.xxhash64("text").alias("key"), "text", "base").dropDuplicates(["key"])
     rows = stored(candidates(texts))
-    fitted = fit(rows, sample)
+    fitted = fit(rows)
     if fitted is None:
         return d.withColumn("spans", F.col("base"))
     model, thresholds = fitted

@@ -297,3 +297,11 @@ def test_pipeline(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert 0 < len(got) < len(docs) and all(len(x) > 0 for x in got.values())
     assert len({hashlib.sha256((docs[i] or "").encode()).hexdigest() for i in got}) == len(got)
+
+
+def test_trees_learn_from_all_base_spans(spark):
+    docs = spark.createDataFrame([(i, f"mail me at person{i}@example.org now") for i in range(300)], "doc_id long, text string")
+    texts = docs.select(F.xxhash64("text").alias("key"), "text", pii.base_spans(F.col("text")).alias("base"))
+    rows = pii.candidates(texts)
+    assert rows.where("label = 1").count() == 300
+    assert pii.examples(rows).select("key", "start").distinct().count() == 300
