@@ -35,10 +35,14 @@ def normalized_lines(col: Column) -> Column:
     Working on the text rather than line by line keeps the work in generated
     code; only the final split makes an array.
     """
-    inner_blank = "(?U)[" + r"\s\x1c-\x1f" + "&&[^\n]]+"
-    collapsed = F.regexp_replace(F.lower(col), inner_blank, " ")
+    low = F.lower(col)
+    # a table of bits tells blanks of ASCII apart; a single space stays as it is
+    plain = F.regexp_replace(low, r"[\t\x0b\x0c\r\x1c\x1d\x1e\x1f ]{2,}|[\t\x0b\x0c\r\x1c\x1d\x1e\x1f]", " ")
+    any_blank = F.regexp_replace(low, "(?U)[" + r"\s\x1c-\x1f" + "&&[^\n]]+", " ")
+    collapsed = F.when(F.octet_length(low) == F.length(low), plain).otherwise(any_blank)
     tight = F.replace(F.replace(collapsed, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
-    return F.split(F.translate(F.btrim(tight), PUNCTUATION, ""), "\n", -1)
+    punctuation = "[" + re.sub(r"(.)", r"\\\1", "".join(c for c in PUNCTUATION if c != "_")) + "_]"
+    return F.split(F.regexp_replace(F.btrim(tight), punctuation, ""), "\n", -1)
 
 
 def position(haystack: Column, needle: str, start: Column | None = None) -> Column:

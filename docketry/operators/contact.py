@@ -78,7 +78,7 @@ def _trigger_steps(body: Column, phrases, ignore_case: bool) -> list[dict[str, C
     def places(hay):
         return [F.when(F.contains(hay, F.lit(n)), position(F.col(hay), n)) for n in needles]
 
-    breaks = F.length("_before") - F.length(F.translate("_before", "\n", ""))
+    breaks = F.length("_before") - F.length(F.replace("_before", F.lit("\n"), F.lit("")))
     return [
         {"_hay": F.lower(body) if ignore_case else body},
         {"_first": F.array_min(F.array(*places("_hay")))},
