@@ -1,16 +1,18 @@
-"""Byte-level BPE: ranked merges folded over distinct words by higher-order functions; decoding joins binary pieces.
+"""Byte-level BPE: ranked merges over the distinct pieces of a slice of texts at once; decoding joins binary pieces.
 
 A text is cut at single spaces into chunks (a space and what follows it), which the split pattern never matches across.
 Chunks are counted over all texts and the most frequent ones are encoded once and sent to the tasks: a dictionary of
-bounded size, made from all the data. Chunks outside it are encoded where they stand, the distinct ones of a text once.
-Both go through the same fold (``encoded``). So no text, and no row per token, is shuffled.
+bounded size, made from all the data. Chunks outside it are encoded where they stand, the distinct pieces of some hundred
+texts together, once. Both go through the same merges (``Vocabulary.encoded``). So no text, and no row per token, is shuffled.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ DICTIONARY, COUNTED = 300_000, 1_000_000
 CELLS, EMPTY = 524_287, 65_535 << 32
 #: Above all ranks.
 NO_TOKEN = 65_536
+#: Texts whose pieces are merged together, and bytes from which on a piece is merged by itself, with a heap.
+TOGETHER, LONG = 512, 64
 #: Where a chunk may not begin or end at a space: blanks at both sides of it, or a blank and the end.
 LOOSE = regex.compile(r"\s\x20(?:\s|\z)")
 
@@ -49,77 +53,120 @@ class Vocabulary:
              if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None], np.int64
         )
 
-    def byte_ids(self) -> list[int]:
-        return [self.ranks[bytes([b])] for b in range(256)]
+    @cached_property
+    def byte_ids(self) -> np.ndarray:
+        return np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+
+    @cached_property
+    def cells(self) -> np.ndarray:
+        """The rank map: a pair of ids is in one of its two cells (cuckoo hashing), as left << 32 | right << 16 | rank.
+
+        The cell XOR the pair is the rank, or 65536 and more if it holds another pair.
+        """
+        held: dict[int, tuple[int, int, int]] = {}
+        for left, right, rank in self.merges().tolist():
+            pair, at = (left, right, rank), None
+            for _ in range(500):
+                one, two = _places(*pair[:2])
+                at = one if one not in held or at == two else two
+                held[at], pair = pair, held.get(at)
+                if pair is None:
+                    break
+            else:
+                raise ValueError("the rank map has no place for a merge")
+        packed = np.full(CELLS, EMPTY, np.int64)
+        for at, (left, right, rank) in held.items():
+            packed[at] = left << 32 | right << 16 | rank
+        return packed
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of neighbours; NO_TOKEN for those that are no token together."""
+        pair = left << 32 | right << 16
+        one, two = (self.cells[at] ^ pair for at in _places(left, right))
+        return np.minimum(np.minimum(one, two), NO_TOKEN)
+
+    def encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces (none empty), one after the other, and where each piece begins and the last one ends.
+
+        In each round every piece that still can puts together its leftmost pair of least rank, so a round costs some
+        passes over the pieces that are not done; pieces of LONG bytes and more are merged by a heap, in n log n steps.
+        """
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
+        for i in np.flatnonzero(sizes >= LONG):
+            found[i] = self._merged(pieces[i])
+        which = np.flatnonzero(sizes < LONG)
+        ids = self.byte_ids[np.frombuffer(b"".join([pieces[i] for i in which]), np.uint8)]
+        sizes = sizes[which]
+        near = self._neighbours(ids, np.cumsum(sizes) - 1)
+        while len(which):
+            first = np.cumsum(sizes) - sizes
+            least = np.minimum.reduceat(near, first)
+            open_ = least < NO_TOKEN
+            if not open_.all():
+                for i, a, n in zip(which[~open_].tolist(), first[~open_].tolist(), sizes[~open_].tolist(), strict=True):
+                    found[i] = ids[a : a + n]
+                stay = np.repeat(open_, sizes)
+                ids, near, which, least, sizes = ids[stay], near[stay], which[open_], least[open_], sizes[open_]
+                continue
+            hits = np.flatnonzero(near == np.repeat(least, sizes))
+            of = np.searchsorted(first, hits, "right") - 1
+            at = hits[np.flatnonzero(np.diff(of, prepend=-1))]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids[at] = least
+            ids, near, sizes = ids[stay], near[stay], sizes - 1
+            at = at - np.arange(len(at))
+            first, last = np.cumsum(sizes) - sizes, np.cumsum(sizes) - 1
+            ahead, behind = at[at < last], at[at > first]
+            near[at] = NO_TOKEN
+            near[ahead] = self.rank(ids[ahead], ids[ahead + 1])
+            near[behind - 1] = self.rank(ids[behind - 1], ids[behind])
+        return np.concatenate(found) if found else ids, np.cumsum([0, *map(len, found)])
+
+    def _neighbours(self, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The rank of each id and the next one, NO_TOKEN for the last ones of pieces."""
+        near = np.full(len(ids), NO_TOKEN, np.int64)
+        if len(ids) > 1:
+            near[:-1] = self.rank(ids[:-1], ids[1:])
+        near[last] = NO_TOKEN
+        return near
+
+    def _merged(self, piece: bytes) -> np.ndarray:
+        """Ids of one piece: a heap of ranks and places, entries that no longer hold are passed over."""
+        start = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        n = len(start)
+        near = self._neighbours(start, np.array([n - 1])).tolist()
+        ids, after, before = start.tolist(), [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [(r, i) for i, r in enumerate(near) if r < NO_TOKEN]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if near[i] != r:
+                continue
+            gone = after[i]
+            ids[i], near[gone], after[i] = r, NO_TOKEN, after[gone]
+            ids[gone] = -1
+            if after[i] < n:
+                before[after[i]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0:
+                    near[left] = self.ranks.get(self.tokens[ids[left]] + self.tokens[ids[right]], NO_TOKEN) if right < n else NO_TOKEN
+                    if near[left] < NO_TOKEN:
+                        heapq.heappush(heap, (near[left], left))
+        return np.array([x for x in ids if x >= 0], np.int64)
 
 
 def _places(left, right):
-    """Two cells for a pair of ids; for numbers, arrays and columns alike."""
+    """Two cells for a pair of ids; for numbers and arrays alike."""
     return (left * 31_337 + right * 7_919) % CELLS, (left * 10_007 + right * 40_009) % CELLS
 
 
-def rank_tables(spark: SparkSession, vocabulary: Vocabulary) -> Column:
-    """The rank map as a constant of the plan, of the vocabulary's size: an array of cells, as Spark's own maps are
-    searched from end to end.
-
-    A pair is in one of its two cells (cuckoo hashing), as left << 32 | right << 16 | rank; the cell XOR the pair is the
-    rank, or 65536 and more if it holds another pair.
-    """
-    cells: dict[int, tuple[int, int, int]] = {}
-    for left, right, rank in vocabulary.merges().tolist():
-        pair, at = (left, right, rank), None
-        for _ in range(500):
-            one, two = _places(*pair[:2])
-            at = one if one not in cells or at == two else two
-            cells[at], pair = pair, cells.get(at)
-            if pair is None:
-                break
-        else:
-            raise ValueError("the rank map has no place for a merge")
-    packed = np.full(CELLS, EMPTY, np.int64)
-    for at, (left, right, rank) in cells.items():
-        packed[at] = left << 32 | right << 16 | rank
-    row = pa.table({"cells": pa.array([packed], pa.list_(pa.int64()))})
-    return spark.createDataFrame(row).select("cells").scalar()
-
-
 def _let(value: Column, body) -> Column:
     """body(value) with value computed once for each row or element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encoded(word: Column, tables: Column) -> Column:
-    """array<long>: ids of one piece, given as the ids of its bytes (array<long>, not empty), by ranked merges.
-
-    The fold keeps the ids and the ranks of all neighbours; each step puts together the leftmost pair of least rank and
-    looks up its two new neighbours, until no pair is a token.
-    """
-
-    def rank(left: Column, right: Column) -> Column:
-        pair = F.shiftleft(left, 32).bitwiseOR(F.shiftleft(right, 16))
-        one, two = (F.get(tables, at.cast("int")).bitwiseXOR(pair) for at in _places(left, right))
-        return F.least(one, two, F.lit(NO_TOKEN))
-
-    def state(ids: Column, near: Column) -> Column:
-        # rank and place in one number, so the least is the leftmost of least rank
-        best = F.array_min(F.transform(near, lambda r, i: F.shiftleft(r, 32) + i))
-        return F.struct(ids.alias("ids"), near.alias("near"), F.coalesce(best, F.lit(NO_TOKEN << 32)).alias("best"))
-
-    def step(s: Column, _: Column) -> Column:
-        ids, near, least = s["ids"], s["near"], F.shiftright(s["best"], 32)
-
-        def merged(i: Column) -> Column:
-            left = F.when(i > 0, F.concat(F.slice(near, F.lit(1), i - 1), F.array(rank(F.get(ids, i - 1), least)))).otherwise(F.slice(near, F.lit(1), F.lit(0)))
-            right = F.when(i + 1 < F.size(near), F.concat(F.array(rank(least, F.get(ids, i + 2))), F.slice(near, i + 3, F.size(near)))).otherwise(F.slice(near, F.lit(1), F.lit(0)))
-            rest = F.concat(F.slice(ids, F.lit(1), i), F.array(least), F.slice(ids, i + 3, F.size(ids)))
-            return _let(F.concat(left, right), lambda now: state(rest, now))
-
-        return F.when(s["best"] < NO_TOKEN << 32, _let(s["best"].bitwiseAND(0xFFFFFFFF).cast("int"), merged)).otherwise(s)
-
-    near = F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, F.lit(2), F.size(word)), rank)
-    return F.aggregate(F.slice(word, F.lit(2), F.size(word)), _let(near, lambda x: state(word, x)), step, lambda s: s["ids"])
-
-
 def _strings(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
@@ -161,8 +208,7 @@ class _Splitter:
     """Chunks to packed ids; pieces that are no token stand as -1, -2, ... and are listed once."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.find, self.ranks = regex.compile(vocabulary.pattern).findall, vocabulary.ranks
-        self.bytes = np.array(vocabulary.byte_ids(), np.int64)
+        self.vocabulary, self.find, self.ranks = vocabulary, regex.compile(vocabulary.pattern).findall, vocabulary.ranks
         self.open: dict[bytes, int] = {}
 
     def __call__(self, text: str) -> bytes:
@@ -173,14 +219,25 @@ class _Splitter:
             ids.append(self.open.setdefault(piece, ~len(self.open)) if rank is None else rank)
         return np.array(ids, np.int32).tobytes()
 
-    def pieces(self) -> list[np.ndarray]:
-        """The open pieces as ids of their bytes."""
-        out, self.open = [self.bytes[np.frombuffer(p, np.uint8)] for p in self.open], {}
-        return out
+    def filled(self, texts: list[bytes]) -> pa.ListArray:
+        """The ids of each text, its open pieces merged; the list of open pieces begins anew."""
+        ids, sizes = np.frombuffer(b"".join(texts), np.int32), np.array([len(t) // 4 for t in texts], np.int64)
+        own, cuts = self.vocabulary.encoded([*self.open])
+        self.open = {}
+        there = ids < 0
+        place = ~ids[there]
+        width = np.ones(len(ids), np.int64)
+        width[there] = cuts[place + 1] - cuts[place]
+        ends = np.concatenate([[0], np.cumsum(width)])
+        out = np.repeat(ids, width)
+        n = width[there]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(ends[:-1][there], n) + within] = own[np.repeat(cuts[place], n) + within]
+        return pa.ListArray.from_arrays(pa.array(ends[np.concatenate([[0], np.cumsum(sizes)])], pa.int32()), pa.array(out, pa.int32()))
 
 
 def _split(vocabulary: Vocabulary, column: str, kind: pa.DataType, lookup: dict[str, bytes] | None):
-    """A task that adds ids (with open places) and pieces to rows; without a lookup the column holds single chunks."""
+    """A task that gives key and ids of rows; without a lookup the column holds single chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _Splitter(vocabulary)
@@ -194,40 +251,23 @@ def _split(vocabulary: Vocabulary, column: str, kind: pa.DataType, lookup: dict[
             return b"".join([split(first), *[lookup.get(c) or split(" " + c) for c in rest]])
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                ids, pieces = [], []
-                for text in _strings(part[column]):
-                    ids.append(np.frombuffer(text_ids(text), np.int32))
-                    pieces.append(split.pieces())
-                cuts = np.cumsum([0, *map(len, ids)])
-                packed = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part[0].cast(kind), packed, pa.array(pieces, pa.list_(pa.list_(pa.int64())))], names=["key", "ids", "pieces"])
+            for low in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(low, TOGETHER)
+                ids = split.filled([text_ids(text) for text in _strings(part[column])])
+                yield pa.RecordBatch.from_arrays([part[0].cast(kind), ids], names=["key", "ids"])
 
     return run
 
 
-def _filled(rows: DataFrame, tables: Column) -> DataFrame:
-    """key, ids with the open places filled by the fold. The tables are read by one expression alone, so that the plan
-    holds them as a constant and no row carries them."""
-    rows = rows.withColumn("tables", tables)
-
-    def fill(done: Column) -> Column:
-        return F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(done, -i - 1))))
-
-    done = _let(F.col("tables"), lambda t: F.transform("pieces", lambda p: F.transform(encoded(p, t), lambda x: x.cast("int"))))
-    return rows.select("key", F.when(F.size("pieces") == 0, F.col("ids")).otherwise(_let(done, fill)).alias("ids"))
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary, dictionary: int = DICTIONARY) -> DataFrame:
     """doc_id, ids (array<int>) of each row of docs: every match of the pattern is encoded by itself.
 
     Null and empty texts have no ids. Rows that repeat are encoded each; null ids stay; other columns are not looked
-    at. ``dictionary`` bounds what is sent to the tasks and has no influence on the result. A piece of n bytes is folded
-    in time n * n, a text in the sum over its distinct pieces that are no token.
+    at. ``dictionary`` bounds what is sent to the tasks and has no influence on the result. A piece of n bytes is merged
+    in time n log n, once for each some hundred texts that hold it.
     """
     spark = docs.sparkSession
-    tables = rank_tables(spark, vocabulary)
+    vocabulary.cells, vocabulary.byte_ids  # noqa: B018  made once, here
     sent_vocabulary = spark.sparkContext.broadcast(vocabulary)
 
     def later(column: str, kind: pa.DataType, lookup):
@@ -236,14 +276,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, dictionary: int = DICTIONARY
 
         return run
 
-    frequent = most_frequent(stored(chunk_counts(docs)), dictionary).select("chunk").mapInArrow(later("chunk", pa.string(), None), "key string, ids array<int>, pieces array<array<long>>")
-    known = _filled(frequent, tables).toArrow()
+    frequent = most_frequent(stored(chunk_counts(docs)), dictionary).select("chunk")
+    known = frequent.mapInArrow(later("chunk", pa.string(), None), "key string, ids array<int>").toArrow()
     ids = known["ids"].combine_chunks()
     cuts, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype(np.int32)
     lookup = {c: values[a:b].tobytes() for c, a, b in zip(known["key"].to_pylist(), cuts, cuts[1:], strict=False)}
     sent = spark.sparkContext.broadcast(lookup)
-    rows = docs.select("doc_id", "text").mapInArrow(later("text", pa.int64(), sent), "key long, ids array<int>, pieces array<array<long>>")
-    return _filled(rows, tables).withColumnRenamed("key", "doc_id")
+    return docs.select("doc_id", "text").mapInArrow(later("text", pa.int64(), sent), "key long, ids array<int>").withColumnRenamed("key", "doc_id")
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:

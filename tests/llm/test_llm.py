@@ -41,6 +41,22 @@ def test_bpe_is_tiktoken(spark, odd, dictionary):
     assert got == want
 
 
+def test_bpe_merges_pieces_together_and_long_ones_fast(spark, odd):
+    known = vocabulary()
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known.ranks, special_tokens={})
+    rng = np.random.default_rng(1)
+    letters = [bytes(rng.choice([*b"abcdeinorst"], n).astype(np.uint8)) for n in [*range(1, 150), 40_000] for _ in range(3 if n < 150 else 1)]
+    pieces = [*letters, b"a" * 63, b"a" * 64, b"a" * 20_001, b"ab" * 40, "\u00e9".encode() * 500, bytes(range(256)) * 2, b"\xff"]
+    ids, cuts = known.encoded(pieces)
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [coder._encode_single_piece(p) for p in pieces]
+    assert known.encoded([])[1].tolist() == [0]
+    # whole texts go through no lambda of Spark's
+    encoded = bpe.encode(odd.where("doc_id > 9"), known, 0)
+    assert "lambda" not in encoded._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: r.ids for r in encoded.collect()}
+    assert got == {r.doc_id: coder.encode_ordinary(r.text) for r in odd.where("doc_id > 9").collect()}
+
+
 def test_bpe_of_no_rows(none):
     assert bpe.encode(none, vocabulary()).count() == 0
 
