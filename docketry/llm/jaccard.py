@@ -80,6 +80,12 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_similar(percent), "a long, b long")
 
 
+def _found(kind: int, rows: int, columns: dict) -> pa.Table:
+    """Rows of one kind; columns that are not given are null."""
+    given = columns | {"kind": np.full(rows, kind, np.int32)}
+    return pa.Table.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(rows, f.type) for f in FOUND_ARROW], schema=FOUND_ARROW)
+
+
 def _index(docs: DataFrame, k: int, percent: int, blocks: int) -> DataFrame:
     """Rows of three kinds: documents with class and size, list entries, sets that are in a list."""
     d = in_blocks(docs, blocks)
@@ -114,9 +120,9 @@ def _index(docs: DataFrame, k: int, percent: int, blocks: int) -> DataFrame:
     def index(t: pa.Table, told: pa.Table) -> pa.Table:
         every = list(own(t, told))
         parts = [s for _, s, _, stands in every if stands]
-        names, _ = tally.by_shard(np.concatenate(parts) if parts else np.zeros(0, np.uint64), blocks, wide=False)
+        names = np.unique(tally.named(np.concatenate(parts) if parts else np.zeros(0, np.uint64), blocks))
         codes = tally.joined(told.filter(pa.compute.is_valid(told["wide"])), np.uint8, wide=False)
-        out = [(DOC, doc_id, c, len(s), None, None, None, None) for doc_id, s, c, _ in every]
+        lists, sets = [], []
         for _, s, c, stands in every:
             if not stands:
                 continue
@@ -127,10 +133,20 @@ def _index(docs: DataFrame, k: int, percent: int, blocks: int) -> DataFrame:
                 continue
             order = np.lexsort((s, code))[:prefix]
             places = np.flatnonzero(code[order] > 1)
-            tokens = s[order[places]].view(np.int64)
-            out += [(LIST, None, c, n, x, p, alone, None) for x, p in zip(tokens.tolist(), places.tolist(), strict=True)]
-            out.append((SET, None, c, n, None, None, None, s.tobytes()))
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), FOUND_ARROW, strict=True)], schema=FOUND_ARROW)
+            lists.append((c, n, alone, s[order[places]].view(np.int64), places.astype(np.int32)))
+            sets.append((c, n, s.tobytes()))
+        lengths = [len(entries[3]) for entries in lists]
+        # entries as arrays, a few bytes each: a tuple of numbers takes some hundred
+        found = [
+            _found(DOC, len(every), {"doc_id": [i for i, _, _, _ in every], "class": [c for _, _, c, _ in every], "n": [len(s) for _, s, _, _ in every]})
+        ]
+        if sets:
+            classes_, sizes, alone, tokens, places = zip(*lists, strict=True)
+            each = {"class": np.array(classes_, np.int64), "n": np.array(sizes, np.int32), "own": np.array(alone, np.int32)}
+            entries = {name: np.repeat(values, lengths) for name, values in each.items()}
+            found.append(_found(LIST, sum(lengths), entries | {"token": np.concatenate(tokens), "place": np.concatenate(places)}))
+            found.append(_found(SET, len(sets), {"class": each["class"], "n": each["n"], "shingles": [x for _, _, x in sets]}))
+        return pa.concat_tables(found)
 
     told = elsewhere
     asked = d.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, tally.REQUEST)
