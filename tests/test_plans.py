@@ -11,7 +11,7 @@ from docketry.functions import regex as R
 from docketry.functions import text as N
 from docketry.operators import catalog as C
 from docketry.operators.resolve import true_dates
-from docketry.operators.rules import Doc, rule_column, shared_of
+from docketry.operators.rules import Doc, emails, rule_column, shared_of
 from docketry.plans.extract import RESULT_COLUMNS, extract
 from docketry.plans.runs import batch_job
 from docketry.registry.queries import PACK, landed_filings, nested_cases
@@ -35,6 +35,14 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_each_text_is_searched_once(spark):
+    texts = spark.range(4).select(F.expr("CASE id WHEN 0 THEN 'a@b.org' WHEN 1 THEN '' WHEN 2 THEN 'no' END").alias("text"))
+    assert [r[0] for r in texts.select(N.filled(F.col("text"))).collect()] == ["a@b.org", None, "no", None]
+    found = texts.select(emails(F.col("text")).alias("found"))
+    assert [r.found for r in found.collect()] == ["a@b.org", None, None, None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
 def test_only_asked_outputs_are_planned(filings):
     packs = [PACK.for_counties(["c1", "c2"])]
     nothing = plan_of(extract(filings, packs, outputs=()).select("county"))
