@@ -14,7 +14,7 @@ from docketry.operators.resolve import true_dates
 from docketry.operators.rules import Doc, emails, rule_column, shared_of
 from docketry.plans.extract import RESULT_COLUMNS, extract
 from docketry.plans.runs import batch_job
-from docketry.registry.queries import PACK, landed_filings, nested_cases
+from docketry.registry.queries import PACK, QUERIES, landed_filings, nested_cases
 from docketry.session import shared_folder
 from docketry.sources import sinks as SK
 from docketry.streaming import jobs as ST
@@ -168,6 +168,32 @@ def test_running_totals_and_page_windows(spark):
         assert r["v"] == text[max(r["a"], 0) : max(r["b"], max(r["a"], 0))]
 
 
+def test_windows_are_cut_once(spark):
+    d = spark.createDataFrame([(TEXT,)], "t string")
+    doc = Doc(F.col("t"), F.col("t"))
+    for field, lowered in (("advanced_incident_date", 1), ("contextual_incident_search", 1)):
+        plan = d.select(rule_column(PACK.rules[field], doc).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(") == lowered, field
+    text = "0123456789é" * 40  # one page
+    spans = [(-5, 10), (0, 0), (430, 450), (10, 5), (440, 500), (1020, 1030), (2000, 3000)]
+    rows = spark.createDataFrame([(t, a, b) for t in (text, "") for a, b in spans], "t string, a int, b int")
+    for r in rows.select("t", "a", "b", N.page_window(N.pages(F.col("t")), F.col("a"), F.col("b")).alias("v")).collect():
+        assert r["v"] == r["t"][max(r["a"], 0) : max(r["b"], max(r["a"], 0))]
+
+
+def test_best_group_searches_once_inside_lambdas(spark):
+    d = spark.createDataFrame([(["on May 3, 2020 and May 4, 2021", "nothing", "", None],)], "a array<string>")
+    for pattern, want in ((r"on\s+(May|June|July|April)\s+\d", ["May", None, None, None]), (r"May\s+\d+", ["May 3", None, None, None])):
+        found = d.select(F.transform("a", lambda x: R.best_group(x, pattern)).alias("v"))
+        assert found.first()["v"] == want
+        assert len(re.findall(r"regexp_extract(?:_all)?\(", found._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+def test_primary_candidate_is_picked_once(spark, sf):
+    plan = QUERIES["d7_primary"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("advanced_incident_date, value") == 1
+
+
 def test_dates_merge_without_pairs(spark):
     own = "array<struct<original_date:string,standard_date:string,source_field:string,is_incident:boolean>>"
     dates = [("b", "2020-01-02", "f", True), ("a", "2020-01-01", "f", True), ("c", "2020-01-02", "g", True), ("z", "2019-01-01", "g", False)]
