@@ -181,6 +181,34 @@ def test_windows_are_cut_once(spark):
         assert r["v"] == r["t"][max(r["a"], 0) : max(r["b"], max(r["a"], 0))]
 
 
+def test_pages_are_cut_once_per_text(filings):
+    found = extract(filings, [PACK.for_counties(["c1", "c2"])], outputs=("incident_date", "error"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("(?s).{1,1024}") == 1
+
+
+def test_likely_texts_are_searched_once(spark):
+    d = spark.createDataFrame([(t,) for t in ("", "none", "on May 1", "a on May 1 b", "On May 1on May 22 é on May 3 ", "on May 1" * 9, "x\uffffon May 1", None)], "t string")
+    pattern = r"on\s+(May \d+)"
+    for likely in (False, True):
+        spans = R.match_spans(F.col("t"), pattern, first=2, likely=likely)
+        for r in d.select("t", spans.alias("s")).collect():
+            want = None if r["t"] is None else [(2, m.start(), m.group(), m.group(1)) for m in re.finditer(pattern, r["t"], re.IGNORECASE)]
+            assert (None if r["s"] is None else [tuple(x) for x in r["s"]]) == want
+    # texts of the words that a pattern holds are not asked by it first
+    shared = shared_of([{"type": "regex", "regex": pattern}])
+    doc = Doc(F.col("t"), F.col("t"), None, shared)
+    assert "RLIKE" not in str(doc.spans(pattern)).upper()
+
+
+def test_pages_of_short_and_long_texts(spark):
+    texts = ["", "a", "é" * 600, "x" * 1024, "y" * 1025, "\U0001f600" * 1025, None]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in d.select(N.pages(F.col("t"))).collect()]
+    assert got == [None if t is None else [t[i : i + N.PAGE] for i in range(0, len(t), N.PAGE)] for t in texts]
+    plan = d.select(N.pages(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan  # short texts are not searched
+
+
 def test_best_group_searches_once_inside_lambdas(spark):
     d = spark.createDataFrame([(["on May 3, 2020 and May 4, 2021", "nothing", "", None],)], "a array<string>")
     for pattern, want in ((r"on\s+(May|June|July|April)\s+\d", ["May", None, None, None]), (r"May\s+\d+", ["May 3", None, None, None])):
