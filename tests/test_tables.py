@@ -51,6 +51,16 @@ def test_sinks_can_run_twice(spark):
     assert spark.read.json(path + "-batch").count() == 2
 
 
+def test_batch_json_is_packed(spark):
+    rows = spark.createDataFrame([("a.pdf", "x" * 9), ("b.pdf", None)], "pdf_file string, text string")
+    path = shared_folder(spark, "packed")
+    SK.write_batch_json(rows, path, "r1")
+    files = [r[0] for r in spark.read.json(path).select(F.input_file_name()).distinct().collect()]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    back = spark.read.schema("pdf_file string, text string, run_id string").json(path)
+    assert sorted(tuple(r) for r in back.collect()) == [("a.pdf", "x" * 9, "r1"), ("b.pdf", None, "r1")]
+
+
 def test_listing_and_missing_mapping(spark, tmp_path):
     for name in ("a.pdf", "b.PDF", "c.txt"):
         (tmp_path / name).write_bytes(b"x")
