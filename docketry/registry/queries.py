@@ -820,7 +820,7 @@ def d6(spark, sf):
 def d7(spark, sf):
     from ..operators.resolve import candidate_array, primary_candidate
 
-    step = with_fields(X.with_elements(X.filings(spark, sf)), PACK)
+    step = with_fields(X.with_elements(X.filings(spark, sf)), PACK, only=filter(D.is_date_field, PACK.fields))
     primary = primary_candidate(candidate_array(PACK.fields, field_column))
     # bound, so that the filter does not pick the candidate a second time
     return N.bind(step, {"p": primary}).where(F.col("p").isNotNull()).select(
@@ -835,7 +835,7 @@ def d7(spark, sf):
 def d8(spark, sf):
     from ..operators.resolve import all_incident_dates, candidate_array, true_dates
 
-    step = with_fields(X.with_elements(X.troubled_filings(spark, sf)), PACK)
+    step = with_fields(X.with_elements(X.troubled_filings(spark, sf)), PACK, only=filter(D.is_date_field, PACK.fields))
     step = step.withColumn("_all", all_incident_dates(candidate_array(PACK.fields, field_column)))
     rows = step.select(
         "filing_id", F.inline(true_dates(F.col("_all"), field_column(V.MULTI_DATE_FIELD))))

@@ -379,3 +379,9 @@ def test_element_table_gives_the_rows_of_the_array(spark):
     table = extract(d.drop("elements"), packs, layout=d.select("id", F.inline("elements")), key="id").orderBy("id").collect()
     assert [r.asDict() for r in table] == [r.asDict() for r in array]
     assert sum("case_number" in (r["extracted_data"] or {}) for r in array) >= 2
+
+
+@pytest.mark.parametrize("name", ["d7_primary", "d8_true_dates"])
+def test_dates_ask_for_date_rules_alone(spark, sf, name):
+    plan = plan_of(QUERIES[name](spark, sf))
+    assert "field_multiple_dates_extractor" in plan and "field_case_number" not in plan and "field_plaintiff" not in plan
