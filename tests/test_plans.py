@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from docketry.functions import regex as R
 from docketry.functions import text as N
 from docketry.operators import catalog as C
+from docketry.operators import report as P
 from docketry.operators.resolve import true_dates
 from docketry.operators.rules import Doc, emails, rule_column, shared_of
 from docketry.plans.extract import RESULT_COLUMNS, extract
 from docketry.plans.runs import batch_job
-from docketry.registry.queries import PACK, QUERIES, landed_filings, nested_cases
+from docketry.registry.queries import PACK, QUERIES, REPORTED, landed_filings, nested_cases
 from docketry.session import shared_folder
 from docketry.sources import sinks as SK
 from docketry.streaming import jobs as ST
@@ -385,3 +386,18 @@ def test_element_table_gives_the_rows_of_the_array(spark):
 def test_dates_ask_for_date_rules_alone(spark, sf, name):
     plan = plan_of(QUERIES[name](spark, sf))
     assert "field_multiple_dates_extractor" in plan and "field_case_number" not in plan and "field_plaintiff" not in plan
+
+
+def test_report_asks_for_date_rules_alone(spark, sf, filings):
+    assert "field_plaintiff" not in plan_of(QUERIES["o1_report"](spark, sf))
+    packs = [PACK.for_counties(["c1", "c2"])]
+    named = filings.withColumns({"pdf_file": F.col("id").cast("string"), "mongo_doc_id": F.lit("x")})
+    whole = extract(named, packs)
+    few = extract(named, packs, outputs=REPORTED)
+    assert "extracted_data" not in few.columns and RESULT_COLUMNS[0] in few.columns
+    want = sorted(map(str, P.report_rows(whole).collect()))
+    assert sorted(map(str, P.report_rows(few).collect())) == want
+    assert any(" | " in r for r in want)
+    # packs without the field
+    none = extract(named, [], outputs=("multiple_dates", "error")).select("multiple_dates").distinct().collect()
+    assert [r[0] for r in none] == [None]
