@@ -13,7 +13,7 @@ from docketry.operators import catalog as C
 from docketry.operators import report as P
 from docketry.operators.resolve import true_dates
 from docketry.operators.rules import Doc, emails, rule_column, shared_of
-from docketry.plans.extract import RESULT_COLUMNS, extract
+from docketry.plans.extract import RESULT_COLUMNS, extract, with_fields
 from docketry.plans.runs import batch_job
 from docketry.registry.queries import PACK, QUERIES, REPORTED, landed_filings, nested_cases
 from docketry.session import shared_folder
@@ -401,3 +401,27 @@ def test_report_asks_for_date_rules_alone(spark, sf, filings):
     # packs without the field
     none = extract(named, [], outputs=("multiple_dates", "error")).select("multiple_dates").distinct().collect()
     assert [r[0] for r in none] == [None]
+
+
+def test_elements_without_a_keyword_are_not_gone_through(spark):
+    element = "struct<page:int,elem_idx:int,text:string,x0:double,x1:double,y0:double>"
+    many = [(0, 0, "CASE\nNUMBER:", 0.0, 9.0, 9.0), (0, 1, "a", 9.0, 9.5, 9.0), (0, 2, "Case Number:", 10.0, 11.0, 9.0), (0, 3, "2020-CA", 12.0, 13.0, 9.0)]
+    rows = [(1, many), (2, many[:2]), (3, [(0, 0, None, 0.0, 1.0, 1.0), None, *many[2:]]), (4, []), (5, None)]
+    d = spark.createDataFrame(rows, f"id int, text string, elements array<{element}>".replace("text string, elements", "elements")).withColumn("text", F.lit(""))
+    found = with_fields(d, PACK, only=["case_number"])
+    assert {r["id"]: r["field_case_number"] for r in found.collect()} == {1: "2020-CA", 2: None, 3: "2020-CA", 4: None, 5: None}
+    assert "Contains(_element_texts" in plan_of(found) or "Contains(lower(array_join" in plan_of(found)
+
+
+def test_ends_of_sections_are_looked_up_once(spark):
+    texts = ["Plaintiff A vs. B", "vs. Plaintiff A", "Plaintiff  ", "no", "", None, "Petitioner v. Plaintiffé x versus"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = d.select(rule_column(PACK.rules["plaintiff"], Doc(F.col("t"), F.lower("t"))).alias("v"))
+    assert [r[0] for r in found.collect()] == ["A", "A", None, None, None, None, "é x"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("least(") == 1
+
+
+def test_bound_values_are_plain_columns_below_the_generator(spark):
+    d = N.bind(spark.range(3), {"v": F.upper(F.col("id").cast("string"))}).where("v <> '1'")
+    assert d.columns == ["id", "v"] and sorted(r["v"] for r in d.collect()) == ["0", "2"]
+    assert "inline(array(struct(v, _bound_v" in plan_of(d) and plan_of(d).count("upper(") <= 1
