@@ -11,6 +11,7 @@ from docketry.functions import regex as R
 from docketry.functions import text as N
 from docketry.operators import catalog as C
 from docketry.operators import report as P
+from docketry.operators.contact import add_contact
 from docketry.operators.resolve import true_dates
 from docketry.operators.rules import Doc, emails, rule_column, shared_of
 from docketry.plans.extract import RESULT_COLUMNS, extract, with_fields
@@ -425,3 +426,16 @@ def test_bound_values_are_plain_columns_below_the_generator(spark):
     d = N.bind(spark.range(3), {"v": F.upper(F.col("id").cast("string"))}).where("v <> '1'")
     assert d.columns == ["id", "v"] and sorted(r["v"] for r in d.collect()) == ["0", "2"]
     assert "inline(array(struct(v, _bound_v" in plan_of(d) and plan_of(d).count("upper(") <= 1
+
+
+def test_contact_lowers_and_measures_once(spark):
+    d = spark.createDataFrame([("a\n\x1f\x1f b\nJURY  DEMANDED now\nX",), ("É  x\nplaintiff demandss",), ("",), (None,)], "text string")
+    steps = d
+    for columns in N.line_steps(F.col("text"), "lines"):
+        steps = steps.withColumns(columns)
+    for r in steps.select("lines", N.normalized_lines(F.col("text")).alias("want")).collect():
+        assert r["lines"] == r["want"]
+    plan = add_contact(d, "text", "c")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") and "octet_length(concat(" in plan
+    # lowered for the trigger and for the lines, besides those of the contact's own lines
+    assert plan.count("lower(text") == 2
