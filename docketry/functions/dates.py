@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from . import regex as R
-from .text import contains_any, strip
+from .text import contains_any, let, strip
 
 
 def is_date_field(field: str) -> bool:
@@ -29,23 +29,40 @@ def _iso(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", year, two(month), two(day))
 
 
-def parse_date(value: Column) -> Column:
-    """Standard form of the first date in ``value``; NULL when there is none.
+#: Ends the parts of a date whose month is a number already.
+_NUMBERED = "#"
+
+
+def date_parts(value: Column) -> Column:
+    """Year, month and day of the first date in ``value``, parted by blanks; NULL when there is none.
 
-    The numeric shapes are searched only where their separator occurs.
+    The numeric shapes are searched only where their separator occurs. The text that holds a date is replaced by its
+    groups at once, so it is searched twice and not once per group.
     """
 
+    def parts(pattern, order):
+        return F.regexp_replace(value, "(?s:\\A.*?)" + R.to_java(pattern) + "(?s:.*)", order)
+
     def numeric(pattern, separator):
-        g = lambda k: R.first_match(value, pattern, k)
-        there = F.contains(value, F.lit(separator)) & R.matches(value, pattern)
-        return F.when(there, _iso(g(3), g(1), g(2)))
-
-    named = lambda k: R.first_match(value, V.MONTH_NAME_DATE, k)
-    by_name = F.when(
-        R.matches(value, V.MONTH_NAME_DATE),
-        _iso(named(3), month_to_number(named(1)).cast("string"), named(2)),
+        return F.contains(value, F.lit(separator)) & R.matches(value, pattern), parts(pattern, "$3 $1 $2 " + _NUMBERED)
+
+    return (
+        F.when(*numeric(V.NUMERIC_DATE, "/"))
+        .when(R.matches(value, V.MONTH_NAME_DATE), parts(V.MONTH_NAME_DATE, "$3 $1 $2"))
+        .when(*numeric(V.DASHED_DATE, "-"))
     )
-    return F.coalesce(numeric(V.NUMERIC_DATE, "/"), by_name, numeric(V.DASHED_DATE, "-"))
+
+
+def from_parts(parts: Column) -> Column:
+    """Standard form of what ``date_parts`` found."""
+    part = lambda k: F.substring_index(F.substring_index(parts, " ", k), " ", -1)
+    month = F.when(F.endswith(parts, F.lit(_NUMBERED)), part(2)).otherwise(month_to_number(part(2)).cast("string"))
+    return F.when(parts.isNotNull(), _iso(F.substring_index(parts, " ", 1), month, part(3)))
+
+
+def parse_date(value: Column) -> Column:
+    """Standard form of the first date in ``value``; NULL when there is none."""
+    return let(date_parts(value), from_parts)
 
 
 def calendar_date(standard: Column) -> Column:
@@ -69,7 +86,7 @@ def without_context(part: Column) -> Column:
 
 def standardize_multiple(value: Column) -> Column:
     """Every part of a multi-date summary in standard form, unparseable ones dropped."""
-    dates = F.transform(split_multi(value), lambda p: parse_date(without_context(p)))
+    dates = F.transform(F.transform(split_multi(value), lambda p: date_parts(without_context(p))), from_parts)
     joined = F.array_join(F.filter(dates, lambda d: d.isNotNull()), V.MULTI_DATE_SEPARATOR)
     usable = value.isNotNull() & (value != "") & (value != V.NOT_AVAILABLE)
     return F.when(usable, joined).otherwise(F.lit(""))
@@ -84,9 +101,9 @@ def incident_kind(field: str) -> str:
     return "ambiguous" if field in V.AMBIGUOUS_FIELDS else "plain"
 
 
-def is_true_incident(field: Column, value: Column, kind: Column | None = None) -> Column:
-    """Ordered rules on the value. ``kind`` is the ``incident_kind`` of the field, if it is known."""
-    low = F.lower(value)
+def is_true_incident(field: Column, value: Column, kind: Column | None = None, low: Column | None = None) -> Column:
+    """Ordered rules on the value. ``kind`` is the ``incident_kind`` of the field, ``low`` the value in lower case, if known."""
+    low = F.lower(value) if low is None else low
     filing = contains_any(field, V.FILING_FIELD_INDICATORS) if kind is None else kind == "filing"
     incident = contains_any(field, V.INCIDENT_FIELD_INDICATORS) if kind is None else kind == "incident"
     ambiguous = field.isin(*V.AMBIGUOUS_FIELDS) if kind is None else kind == "ambiguous"

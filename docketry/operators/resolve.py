@@ -9,6 +9,8 @@ from .. import fixed_values as V
 from ..functions.compiled import compiled
 from ..functions.text import let
 from ..functions.dates import (
+    date_parts,
+    from_parts,
     incident_kind,
     is_date_field,
     is_padded_numeric,
@@ -50,14 +52,17 @@ def candidate_array(fields: list[str], column=F.col) -> Column:
             ]
         )
     )
+    searched = F.transform(
+        filled, lambda c: F.struct(c.alias("of"), F.lower(c["value"]).alias("low"), date_parts(c["value"]).alias("parts"))
+    )
     return F.transform(
-        filled,
-        lambda c: F.struct(
-            c["field"].alias("field"),
-            c["value"].alias("value"),
-            is_true_incident(c["field"], c["value"], c["kind"]).alias("is_incident"),
-            parse_date(c["value"]).alias("standard_date"),
-            c["order"].alias("order"),
+        searched,
+        lambda x: F.struct(
+            x["of"]["field"].alias("field"),
+            x["of"]["value"].alias("value"),
+            is_true_incident(x["of"]["field"], x["of"]["value"], x["of"]["kind"], x["low"]).alias("is_incident"),
+            from_parts(x["parts"]).alias("standard_date"),
+            x["of"]["order"].alias("order"),
         ),
     )
 
@@ -116,7 +121,8 @@ def true_dates(all_dates: Column, multi_value: Column, skip=V.KNOWN_FILING_DATES
         else ~is_padded_numeric(p["bare"])
     )
     extra = F.transform(
-        listed, lambda p: _dated(p["part"], parse_date(p["bare"]), F.lit(V.MULTI_DATE_FIELD))
+        F.transform(listed, lambda p: F.struct(p["part"].alias("part"), date_parts(p["bare"]).alias("date"))),
+        lambda p: _dated(p["part"], from_parts(p["date"]), F.lit(V.MULTI_DATE_FIELD)),
     )
     extra = F.filter(extra, lambda d: d["standard_date"].isNotNull())
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import regex as R
-from ..functions.dates import is_padded_numeric, parse_date
+from ..functions.dates import date_parts, from_parts, is_padded_numeric
 from ..functions.text import blank_to_null, chain, filled, let, page_window, pages, position, strip, window
 from .layout import nearest_word
 
@@ -426,10 +426,12 @@ def multi_date_rule(rule: dict, doc: Doc) -> Column:
 
     def dated(spans):
         kept = F.filter(spans, lambda s: ~is_padded_numeric(s["value"]))
+        searched = F.transform(kept, lambda s: F.struct(s.alias("span"), date_parts(s["value"]).alias("parts")))
         return F.transform(
-            kept,
-            lambda s, i: F.struct(
-                parse_date(s["value"]).alias("standard"), i.alias("by_pattern"), s["start"].alias("start"), s["value"].alias("value")
+            searched,
+            lambda x, i: F.struct(
+                from_parts(x["parts"]).alias("standard"), i.alias("by_pattern"),
+                x["span"]["start"].alias("start"), x["span"]["value"].alias("value"),
             ),
         )
 

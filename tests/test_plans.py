@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from docketry.functions import dates as D
 from docketry.functions import regex as R
 from docketry.functions import text as N
 from docketry.operators import catalog as C
@@ -439,3 +440,14 @@ def test_contact_lowers_and_measures_once(spark):
     assert plan.count("split(") and "octet_length(concat(" in plan
     # lowered for the trigger and for the lines, besides those of the contact's own lines
     assert plan.count("lower(text") == 2
+
+
+def test_dates_are_parsed_by_two_searches(spark):
+    texts = ["on May 3rd, 2020 or June 4, 2021", "x 1/2/2020 and May 3, 2019", "1-12-2020", "aUGUſT 3 2020", "12-1-2020\nmay 9,\n1999", "1/2/20 May 5, 2001 3/4/2005", "none", "", None, "a $1 # 10/11/2012 #"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = ["2020-05-03", "2020-01-02", "2020-01-12", "2020-01-03", "1999-05-09", "2005-03-04", None, None, None, "2012-10-11"]
+    assert [r[0] for r in d.select(D.parse_date(F.col("t"))).collect()] == want
+    listed = d.select(F.transform(F.array("t"), lambda t: D.from_parts(D.date_parts(t)))[0])
+    assert [r[0] for r in listed.collect()] == want
+    # one test and one search for each of three shapes, not one search per group
+    assert str(D.parse_date(F.col("t"))).lower().count("regexp_extract") == 0
